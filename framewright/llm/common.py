@@ -53,8 +53,16 @@ def word_count(text: Column) -> Column:
 
 def split_words(text: str | None) -> list[str]:
     """The words of ``word_count`` in Python."""
-    return [] if not text else [w for w in text.translate(ASCII_WS).split(" ") if w] if not text.isascii() else text.split() if not _ODD.intersection(text) else [w for w in text.translate(ASCII_WS).split(" ") if w]
+    return [w for w in text.translate(ASCII_WS).split(" ") if w] if text else []
 
 
-#: ASCII characters at which str.split() cuts although the contract doesn't count them as white space.
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+def salted_left_join(rows: DataFrame, named: DataFrame, key: str, salt_on: str) -> DataFrame:
+    """``rows`` left joined with ``named`` (one row for each ``key``), however many rows share a key or have none.
+
+    The key is extended by a salt of ``salt_on``; ``named`` is repeated only for the (key, salt) that occur, which Spark finds with a
+    map-side distinct. Rows whose key is null don't take part in the shuffle of one key: their salt spreads them.
+    """
+    salts = partitions(rows.sparkSession) * 4
+    salted = rows.withColumn("salt__", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    present = salted.filter(F.col(key).isNotNull()).select(key, "salt__").distinct()
+    return salted.join(present.join(named, key), [key, "salt__"], "left").drop("salt__")
