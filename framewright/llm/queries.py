@@ -12,6 +12,7 @@ from .langid import identify
 from .mixing import mix_schedule, taken_words
 from .packing import pack_documents
 from .simhash import near_duplicates
+from .toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken_words(mix_schedule(table(spark, sf_dir, "documents")))
     return taken.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken")
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
