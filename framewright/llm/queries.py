@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import mix_schedule, taken_words
 from .packing import pack_documents
+from .pii import detect_pii, digest
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -52,6 +53,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(detect_pii(table(spark, sf_dir, "documents")))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_language_id": op4_language_id,
+    "op5_pii": op5_pii,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,

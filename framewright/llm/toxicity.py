@@ -91,7 +91,7 @@ class ToxicityModel:
         pooled, _, _ = self.features(texts)
         return (np.maximum(pooled, 0) @ self.out + self.out0).astype(np.float64)
 
-    def fit(self, texts: list[str | None], y: np.ndarray, steps: int = 900, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
+    def fit(self, texts: list[str | None], y: np.ndarray, steps: int = 600, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the logistic loss with classes of equal weight; embeddings are updated where the batch touches them. Whole epochs, ``steps`` batches or more."""
         r = np.random.default_rng(seed)
         pos = max(1, int(y.sum()))
