@@ -422,9 +422,10 @@ def digest(found: DataFrame) -> DataFrame:
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
     joined = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("r"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    of = lambda k: F.filter("base", lambda x: x["kind"] == k)
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(every).alias("spans"),
     )
