@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embed_dedup import embedding_links
 from .exact_dedup import exact_dedup
 from .langid import identify
 from .mixing import mix_schedule, taken_words
@@ -57,6 +58,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(detect_pii(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
