@@ -14,7 +14,9 @@ from .mixing import mix_schedule, taken_words
 from .packing import pack_documents
 from .pii import detect_pii, digest
 from .simhash import near_duplicates
+from .token_counts import token_counts
 from .toxicity import score_toxicity
+from .warc import derive, responses
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "shingle_class", "kept")
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(responses(table(spark, sf_dir, "pages")))
+    return records.withColumn("text", F.col("block").cast("string")).drop("block")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -67,6 +74,10 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -102,10 +113,12 @@ FROM p
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_harmonic_packing": op7_harmonic_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
