@@ -1,5 +1,30 @@
 """Registry of the engine's queries and of their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is what DuckDB runs on the same tables."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import queries_media, queries_sampling, queries_text  # noqa: E402, F401
+
+FLAGSHIP = QUERIES["flagship_topk_dedup"]
