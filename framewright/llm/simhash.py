@@ -13,7 +13,7 @@
 
 ``max_distance`` is 4 standard deviations above the expectation at the threshold, so it costs no links; bit sampling finds a
 pair at similarity s in at least one of the tables with probability 1 - (1 - p**base_bits)**tables,
-p = 1 - acos(2s/(1+s))/pi: 0.95 at 0.8, 0.99 at 0.85 and 0.9995 at 0.9.
+p = 1 - acos(2s/(1+s))/pi: 0.9975 at 0.8 and 0.9997 at 0.85, as long as a bucket isn't cut.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import durable, fresh, salted_left_join
 from .components import connected_components
 
-WORDS, BITS, TABLES, BASE_BITS, SAMPLED, CAP, THRESHOLD = 5, 256, 40, 16, 64, 64, 0.8
+WORDS, BITS, TABLES, BASE_BITS, SAMPLED, CAP, THRESHOLD = 5, 256, 40, 12, 64, 128, 0.8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _WORD_CACHE = 400_000
 _strip = re.compile(r"[\W_]+")
