@@ -80,6 +80,8 @@ class ToxicityModel:
             r = (e @ conv[0])[seq]
             for j in range(1, w):
                 r[: len(seq) - j] += (e @ conv[j])[seq[j:]]
+            for j in range(1, w):  # a window ends where its text does
+                r[ends - j] = -np.inf
             top = np.maximum.reduceat(r, starts, axis=0)
             pooled.append(top)
             where.append((r, top))
