@@ -77,7 +77,8 @@ def slot_schedule(targets: DataFrame, block_words: int) -> DataFrame:
     ranked = hit.join(b, hit["source"].eqNullSafe(b["s2"]) & (hit["chunk"] == b["c2"])).select("source", (F.col("before") + F.col("inside") - 1).alias("k"), "slot", "need").filter("k < need")
     got = counts.groupBy("source").agg(F.sum("c").alias("got")).select(F.col("source").alias("s3"), "got")
     short = need.join(got, need["source"].eqNullSafe(got["s3"]), "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < need")
-    tail = short.select("source", F.explode(F.sequence("got", F.col("need") - 1)).alias("k")).select("source", "k", (F.lit(n) + F.col("k")).alias("slot"))
+    short = short.join(need.select(F.col("source").alias("s4"), F.row_number().over(order).alias("ix")), F.col("source").eqNullSafe(F.col("s4")))
+    tail = short.select("source", "ix", F.explode(F.sequence("got", F.col("need") - 1)).alias("k")).select("source", "k", (F.lit(n) + F.col("k") * sources + F.col("ix") - 1).alias("slot"))
     return ranked.select("source", "k", "slot").unionByName(tail)
 
 
