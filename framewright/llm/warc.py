@@ -114,7 +114,7 @@ def page_parts(source: str) -> tuple[str, str, str, list[str]]:
 def _response(page: int | None, url: str, body: bytes, date: str) -> dict:
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
     block = head + body
-    return dict(page_id=page, warc_type="response", record_id=record_id("response", page, url), refers_to=None, concurrent_to=None, target_uri=url, warc_date=date, content_type="application/http; msgtype=response", content_length=len(block), block_digest=digest(block), payload_digest=digest(body), source_payload_digest=None, source_headers=None, block=block)
+    return dict(page_id=page, warc_type="response", record_id=record_id("response", page, url, digest(body)), refers_to=None, concurrent_to=None, target_uri=url, warc_date=date, content_type="application/http; msgtype=response", content_length=len(block), block_digest=digest(block), payload_digest=digest(body), source_payload_digest=None, source_headers=None, block=block)
 
 
 def split_http(block: bytes) -> tuple[str, bytes]:
