@@ -177,7 +177,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("i").distinct()
     picked = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.col(f"`{text_col}`").alias("t"))
     sample = picked.join(F.broadcast(ids), "i", "left_semi").toPandas().sort_values(["l", "i", "t"])
-    sample = sample[[has_letter(t) for t in sample["t"]]]
+    sample = sample[np.array([has_letter(t) for t in sample["t"]], dtype=bool)]
     return HierarchicalModel(sample["t"].tolist(), sample["l"].tolist())
 
 
