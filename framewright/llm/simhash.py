@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = durable(candidates.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a long, b long, jaccard double"))
     comps = connected_components(links.select("a", "b"))
     named = reps.join(comps, reps.rep == comps.node, "left").select("shingle_set", "rep", F.coalesce("component", "rep").alias("class_id"))
-    classes = salted_left_join(sketched.select("doc_id", "shingle_set"), named, "shingle_set", "doc_id").select(
+    classes = salted_left_join(sketched.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("shingle_set")).alias("shingle_set")), named, "shingle_set", "doc_id").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("shingle_class")
     )
     return classes.withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id"))), links
