@@ -8,13 +8,15 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import pixels as px
+from ..functions.params import match_score, model_column
 from ..operators import media as m
 from ..operators import relations as rel
 from ..operators import sampling as smp
+from ..operators.retrieval import frame_numbers
 from ..types import IMAGE
 from .catalog import query
 from .pipeline import Pipeline, Spec
-from .standins import FRAMES_SQL, frames, query_vector, table
+from .standins import FRAMES_SQL, frames, hashes, query_vector, table
 
 # ---- long-form pixels: part p is an image of 16 x 16 x 3 bytes, value (k * 31 + i * 7) % 256 -----------------------
 
@@ -284,3 +286,25 @@ def c5(spark, sf):
 def c3(spark, sf):
     n = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return n.select("label", (F.col("n") > 8192).alias("gated"), smp.compress_target(F.col("n")).alias("k"))
+
+
+@query("k12_match_score", "SELECT p_partkey, round(1 / (1 + exp(p_size / 10.0::DOUBLE - p_retailprice / 900)), 6) AS score FROM part")
+def k12(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.round(match_score(F.expr("p_size / 10.0D"), F.expr("p_retailprice / 900")), 6).alias("score"))
+
+
+@query("r8_detection_flow")
+def r8(spark, sf):
+    """Frames that changed, then the adaptive selection among them, mapped back to their original indices."""
+    kept = rel.changed_frames(hashes(spark, sf), "video", "frame_idx", "bits", 28).select("video", "frame_idx")
+    kept = frame_numbers(kept, "video", "frame_idx", "place").withColumnRenamed("frame_idx", "original")
+    scored = kept.join(frames(spark, sf).select("video", F.col("frame_idx").alias("original"), "score"), ["video", "original"])
+    picked = m.adaptive_frames(scored.withColumn("frame_idx", F.col("place")), 12)
+    return picked.select("video", F.col("frame_idx").cast("long").alias("place")).join(kept, ["video", "place"]).select("video", F.col("original").alias("frame_idx"))
+
+
+@query("r12_model_column", "SELECT conv_id, turn, length(text) AS n FROM conversations")
+def r12(spark, sf):
+    """A supplied model as a column; the stand-in counts characters."""
+    score = model_column(lambda: lambda texts: [len(t) for t in texts], "bigint")
+    return table(spark, sf, "conversations").select("conv_id", "turn", score("text").alias("n"))

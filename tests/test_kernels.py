@@ -195,3 +195,30 @@ def test_compression():
     assert compress.compress_video(x, 2).shape[1] == 64
     with pytest.raises(MediaError):
         compress.compress_video(x, 3)
+
+
+def test_plan_time_settings():
+    from framewright.functions import params
+
+    p = params.vision_params(size={"shortest_edge": 3136, "longest_edge": 50176}, mean=0.5, unknown=1)
+    assert (p["min_pixels"], p["max_pixels"], p["mean"]) == (3136, 50176, (0.5, 0.5, 0.5))
+    for bad in ({"do_resize": False}, {"std": 0}, {"temporal_patch_size": 3}, {"min_pixels": 10}, {"max_pixels": 4096**2 + 1}):
+        with pytest.raises(MediaError):
+            params.vision_params(**bad)
+    f = np.zeros((12, 14, 3), np.float32)
+    assert [len(x) for x in params.frame_lists(f)] == [1] and [len(x) for x in params.frame_lists([f, f])] == [1, 1] and [len(x) for x in params.frame_lists([[f, f], [f]])] == [2, 1]
+    assert params.selection_inputs("q", 4, 10) == 4 and params.tile_params(32, 1, 4) == (32, 1, 4)
+    for bad in (("", 1, 1), ("q", 0, 1), ("q", 1, 0), ("q", 1, True)):
+        with pytest.raises(MediaError):
+            params.selection_inputs(*bad)
+    with pytest.raises(MediaError):
+        params.tile_params(448, 5, 12)
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return 7
+
+    assert params.retry(flaky, wait=0.001) == 7 and len(calls) == 3
