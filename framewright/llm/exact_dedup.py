@@ -5,6 +5,9 @@ Texts are normalised by deleting ASCII white space. Sampled splitters range-part
 window operator compares each row's whole content with its neighbour's to end a group. The digest only names a group
 afterwards; it never decides equality inside a partition.
 
+Splitters are samples that the driver holds, about a hundred for each partition, so they are made of bounded parts: the first
+``PREFIX`` bytes, then a 64-bit hash that orders contents with the same beginning. The sort goes on with the whole bytes.
+
 Skew: the sort key ends in a salt made of the row's identifier, so that a content shared by a third of all rows
 spreads over many partitions. Each (content, salt) group elects one leader; leaders carry no text, and a second,
 small step elects the winner among at most ``salts`` leaders of a content. With ``salts`` a multiple of the shuffle
@@ -22,6 +25,8 @@ from .common import durable, fresh, partitions
 
 #: Salts for each shuffle partition.
 SALTS_PER_PARTITION = 16
+#: Bytes of a content that a splitter holds.
+PREFIX = 16
 
 
 def normalised(text: Column) -> Column:
@@ -50,9 +55,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         normalised(text).alias("norm"),
     )
     best = [F.desc("n"), F.asc_nulls_last("doc_id")]
-    group = Window.partitionBy("norm", "salt")
+    rows = rows.withColumn("head", F.substring(F.col("norm").cast("binary"), 1, PREFIX)).withColumn("h", F.xxhash64("norm"))
+    group = Window.partitionBy("head", "h", "salt", "norm")
     sorted_rows = (
-        rows.repartitionByRange("norm", "salt")
+        rows.repartitionByRange("head", "h", "salt")
         .withColumn("rn", F.row_number().over(group.orderBy(*best)))
         .withColumn("members", F.count(F.lit(1)).over(group))
         .select("doc_id", "n", "salt", "rn", "members", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
