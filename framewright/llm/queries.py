@@ -52,6 +52,31 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "shingle_class", "kept")
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS sh
+  FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y, shared = a.n AND shared = b.n AS same FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared / CAST(a.n + b.n - shared AS DOUBLE) >= 0.8
+), c AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x
+), k AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM c GROUP BY 1
+), e AS (
+  SELECT x AS doc_id, min(y) AS twin FROM l WHERE same GROUP BY 1
+)
+SELECT d.doc_id, k.class_id, least(d.doc_id, coalesce(e.twin, d.doc_id)) AS shingle_class, d.doc_id = k.class_id AS kept
+FROM documents d JOIN k USING (doc_id) LEFT JOIN e USING (doc_id)
+"""
+
+
 def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = derive(responses(table(spark, sf_dir, "pages")))
     return records.withColumn("text", F.col("block").cast("string")).drop("block")
@@ -69,6 +94,21 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.95 * a.n * b.n
+), c AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x
+)
+SELECT x AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(y) AS component_id, min(y) = x AS kept
+FROM c LEFT JOIN (SELECT x AS i, count(*) AS n FROM l GROUP BY 1) n ON n.i = c.x GROUP BY x
+"""
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -122,4 +162,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op2_simhash_near_dedup": OP2_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_mixing": OP10_SQL}
