@@ -208,3 +208,17 @@ def test_streaming_changed_frames(spark, tmp_path):
     q = live.changed_frames(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(r.frame_idx for r in spark.table(name).collect()) == [0, 2, 4, 5]
+
+
+def test_jpeg_files(spark, tmp_path):
+    j = spark.sparkContext._jvm
+    img = j.java.awt.image.BufferedImage(40, 30, 5)
+    for y in range(30):
+        for x in range(40):
+            img.setRGB(x, y, 200 << 16 | 100 << 8 | 50)
+    assert j.javax.imageio.ImageIO.write(img, "jpg", j.java.io.File(str(tmp_path / "a.jpg")))
+    (tmp_path / "b.txt").write_text("no")
+    r = src.read_images(spark, str(tmp_path)).collect()
+    assert len(r) == 1 and (r[0].image.height, r[0].image.width) == (30, 40)
+    x = media.image_array(r[0].image.asDict())
+    assert np.abs(x.astype(int) - [200, 100, 50]).max() <= 2  # RGB, not the reader's BGR
