@@ -66,3 +66,19 @@ def salted_left_join(rows: DataFrame, named: DataFrame, key: str, salt_on: str)
     salted = rows.withColumn("salt__", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
     present = salted.filter(F.col(key).isNotNull()).select(key, "salt__").distinct()
     return salted.join(present.join(named, key), [key, "salt__"], "left").drop("salt__")
+
+
+#: Resolution of the hash thresholds below.
+_FINE = 1 << 40
+
+
+def share_below(h: Column, share: Column) -> Column:
+    """True for about ``share`` of all hashes ``h``, the same ones each time."""
+    return F.pmod(h, F.lit(_FINE)) < F.least(share, F.lit(1.0)) * float(_FINE)
+
+
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most ``n`` rows, chosen by the hash of ``key``. Rows above a hash threshold are left out while the table is read, so that the tasks together
+    send the driver about 1.5 n rows however many tasks there are."""
+    h = F.xxhash64(key)
+    return df.filter(share_below(h, F.lit(1.5 * n / max(1, df.count())))).orderBy(h, key).limit(n)

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import share_below
+
 #: Families of ISO 639-1 codes. Languages that aren't listed form a family of their own.
 FAMILIES = {
     code: family
@@ -168,11 +170,14 @@ class HierarchicalModel:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> HierarchicalModel:
     """A model of at most ``per_lang`` rows for each language, of rows that aren't held out, have a language and a letter.
 
-    The sample is chosen over identifiers only (Spark keeps the first ``per_lang`` of each task), its texts are then picked by a join with that bounded
-    list, and only they reach the driver.
+    The sample is chosen over identifiers only: a hash threshold leaves about 1.5 times ``per_lang`` of each language, of which the first stay. Its texts are
+    then picked by a join with that bounded list, and only they reach the driver.
     """
     doc, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     rows = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.xxhash64(doc).alias("h"))
+    # One row for each language: the classes that the model has anyway.
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(F.broadcast(sizes), "l").filter(share_below(F.col("h"), F.lit(1.5 * per_lang) / F.col("n")))
     first = Window.partitionBy("l").orderBy("h", "i")
     ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("i").distinct()
     picked = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.col(f"`{text_col}`").alias("t"))
