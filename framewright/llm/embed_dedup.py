@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, salted_left_join
+from .common import durable, hashed_sample, partitions, salted_left_join
 from .components import connected_components
 
 BLOCK, AXES, FAN, SAMPLE = 2048, 8, 4, 20_000
@@ -192,7 +192,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     members = good.filter(F.col("dim") == dim[0])
     distinct = members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.min("vec").alias("vec")).select("rep", "vec", "weight", "key")
     distinct = durable(distinct)
-    few = distinct.orderBy(F.xxhash64("key")).limit(sample).select("vec").toPandas()["vec"]
+    few = hashed_sample(distinct.select("key", "vec"), "key", sample).toPandas()["vec"]
     v = principal_axes(_unit([bytes(x) for x in few]), axes)
     axes = v.shape[1]
     celled = distinct.select("rep", "vec", "weight").mapInArrow(_cells(v, max(eps, 1e-6)), "rep long, vec binary, weight long, cell array<int>")
