@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .langid import HierarchicalModel, held_out
 from .langid import train as train_language
 
@@ -183,7 +184,7 @@ def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str | None = "lang", max_labelled: int = MAX_LABELLED, per_class: int = PER_CLASS) -> ToxicityModel:
     """A model of labelled rows that aren't held out: at most ``per_class`` of each label, chosen by identifier hash among ``max_labelled`` rows."""
     lab = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y")).filter(~held_out(F.col("i")))
-    lab = lab.orderBy(F.xxhash64("i"), "i").limit(max_labelled).toPandas()
+    lab = hashed_sample(lab, "i", max_labelled).toPandas()
     lab = pd.concat([part.iloc[:per_class] for _, part in lab.groupby("y")]) if len(lab) else lab
     model = ToxicityModel()
     if len(lab):
