@@ -5,15 +5,16 @@
 2. One document of each class gets a 256-bit fingerprint: bit j is the sign of the sum over its shingles of their
    j-th hash bits as +1 and -1. Fingerprints differ in about 256 * angle / pi bits.
 3. Each of ``tables`` tables permutes the bits at random; documents that agree in a table's first ``base_bits`` sampled coordinates
-   share a bucket. Rows are sorted by all sampled coordinates, so a bucket with more than ``cap`` rows is cut by further bits
-   into runs of at most ``cap``. Rows that agree in all sampled bits can't be cut: such a run is compared whole, in blocks.
-4. Inside a run fingerprints are compared, and pairs within ``max_distance`` bits are candidates. A candidate's distance is then
+   share a bucket. A bucket is never cut: all its rows are compared. One of more than ``_HELD`` rows is split into blocks by a hash of
+   the identifier, and each pair of blocks is a task's work of its own.
+4. Inside a bucket fingerprints are compared, and pairs within ``max_distance`` bits are candidates. A candidate's distance is then
    verified: the exact Jaccard similarity of the shingle sets, which must be ``threshold`` or more.
 5. Links make classes (connected components); the smallest identifier of a class stays.
 
-``max_distance`` is 4 standard deviations above the expectation at the threshold, so it costs no links; bit sampling finds a
-pair at similarity s in at least one of the tables with probability 1 - (1 - p**base_bits)**tables,
-p = 1 - acos(2s/(1+s))/pi: 0.9975 at 0.8 and 0.9997 at 0.85, as long as a bucket isn't cut.
+``max_distance`` is 4 standard deviations above the expectation at the threshold, so it costs hardly a link; bit sampling finds a
+pair whose share of equal bits is p in at least one of the tables with probability 1 - (1 - p**base_bits)**tables, with
+p = 1 - acos(2s/(1+s))/pi on average at similarity s. As p varies from pair to pair, that is 0.990 at 0.8 and 0.998 at 0.85,
+whatever the size of the buckets.
 """
 
 from __future__ import annotations
@@ -115,16 +116,61 @@ def sampled_order(tables: int = TABLES, sampled: int = SAMPLED, bits: int = BITS
     return np.stack([rng.permutation(bits)[:sampled] for _ in range(tables)])
 
 
-def _explode_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Rows of one bucket that are held and compared at once; a larger bucket is compared in pairs of blocks.
+_HELD = 16_384
+#: Above the number of tables: pair (i, j) of a bucket's blocks counts as table t + _PAIR * (1 + i * blocks + j).
+_PAIR = 64
+
+
+def _buckets(fp: list[bytes], order: np.ndarray) -> np.ndarray:
+    """The bucket of each fingerprint in each table: the value of its base bits."""
+    bits = np.unpackbits(np.frombuffer(b"".join(fp), dtype=np.uint8).reshape(len(fp), BITS // 8), axis=1)
+    weight = (1 << np.arange(BASE_BITS - 1, -1, -1)).astype(np.float32)
+    return np.stack([(bits[:, o[:BASE_BITS]] @ weight).astype(np.int32) for o in order])
+
+
+def _bucket_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = sampled_order()
+    n = np.zeros((TABLES, 1 << BASE_BITS), dtype=np.int64)
     for b in batches:
-        if not b.num_rows:
-            continue
-        fp = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint8).reshape(b.num_rows, BITS // 8)
-        bits = np.unpackbits(fp, axis=1)
-        for t in range(len(order)):
-            key = np.ascontiguousarray(np.packbits(bits[:, order[t]], axis=1)).view(">u8").ravel().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(b.num_rows, t, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array((key >> np.uint64(64 - BASE_BITS)).astype(np.int32))], names=["rep", "fp", "tbl", "key", "bucket"])
+        if b.num_rows:
+            for t, x in enumerate(_buckets(b.column(0).to_pylist(), order)):
+                n[t] += np.bincount(x, minlength=1 << BASE_BITS)
+    t, x = np.nonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(n[t, x])], names=["tbl", "bucket", "n"])
+
+
+def bucket_blocks(reps: DataFrame, held: int) -> dict[tuple[int, int], int]:
+    """Number of blocks of each bucket that has more than ``held`` rows; there are TABLES * 2**BASE_BITS buckets at most, whatever the input."""
+    n = reps.select("fp").mapInArrow(_bucket_sizes, "tbl int, bucket int, n long").groupBy("tbl", "bucket").agg(F.sum("n").alias("n"))
+    return {(r.tbl, r.bucket): -(-2 * r.n // held) for r in n.filter(F.col("n") > held).collect()}
+
+
+def _explode_tables(blocks: dict[tuple[int, int], int]) -> Callable:
+    """Rows (rep, fp, tbl, key, bucket): key is the block of a row that is in pairs of blocks, otherwise 0."""
+    large: dict[int, list[tuple[int, int]]] = {}
+    for (t, x), g in blocks.items():
+        large.setdefault(t, []).append((x, g))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = sampled_order()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            salt = _mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), _MIX[2])
+            for t, bucket in enumerate(_buckets(b.column(1).to_pylist(), order)):
+                g = np.ones(b.num_rows, dtype=np.int64)
+                for x, n in large.get(t, ()):
+                    g[bucket == x] = n
+                at = np.repeat(np.arange(b.num_rows), g)
+                n = g[at]
+                own = (salt[at] % n.astype(np.uint64)).astype(np.int64)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
+                tbl = np.where(n > 1, t + _PAIR * (1 + np.minimum(own, other) * n + np.maximum(own, other)), t)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(tbl), pa.array(own), pa.array(bucket[at])], names=["rep", "fp", "tbl", "key", "bucket"])
+
+    return run
 
 
 def runs(keys: np.ndarray, cap: int = CAP, base_bits: int = BASE_BITS, before: int | None = None) -> list[tuple[int, int]]:
@@ -172,17 +218,9 @@ def near_pairs(fp: np.ndarray, limit: int, block: int = 1024) -> Iterator[tuple[
             yield a[keep] + i, b[keep] + j
 
 
-def _within_runs(ids: np.ndarray, fp: np.ndarray, ends: np.ndarray, limit: int, cap: int, out: list) -> None:
-    """Pairs of rows of one run within ``limit`` bits; ends[i] is where the run of row i ends."""
+def _in_small(ids: np.ndarray, fp: np.ndarray, ends: np.ndarray, limit: int, cap: int, out: list) -> None:
+    """Pairs within ``limit`` bits of rows of one bucket of at most ``cap`` rows; ends[i] is where the bucket of row i ends."""
     at = np.arange(len(ids))
-    long_ = np.zeros(len(ids), dtype=bool)
-    starts = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
-    for i in starts[ends[starts] - starts > cap].tolist():  # rows that no sampled bit tells apart
-        long_[i : ends[i]] = True
-        for a, b in near_pairs(np.ascontiguousarray(fp[i : ends[i]]), limit):
-            x, y = ids[i + a], ids[i + b]
-            out.append((np.minimum(x, y), np.maximum(x, y)))
-    at = at[~long_]
     for d in range(1, cap):
         at = at[at + d < ends[at]]
         if not len(at):
@@ -193,38 +231,35 @@ def _within_runs(ids: np.ndarray, fp: np.ndarray, ends: np.ndarray, limit: int,
             out.append((np.minimum(x, y), np.maximum(x, y)))
 
 
-#: Rows of one bucket that are held before the runs that are complete are worked off.
-_HELD = 500_000
-
-
 def _bucket_pairs(limit: int, cap: int = CAP) -> Callable:
+    """Pairs within ``limit`` bits of each group (tbl, bucket); of a pair of two blocks only those across. Above ``cap`` rows they are found block by block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, ids, keys, fp = (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64), np.empty((0, BITS // 64), dtype=np.uint64))
-        before: int | None = None  # the key ahead of the held rows, if their bucket began earlier
+        group, ids, keys, fp = (np.empty(0, dtype=np.int64),) * 3 + (np.empty((0, BITS // 64), dtype=np.uint64),)
 
-        def work(upto: int, final: bool) -> Iterator[pa.RecordBatch]:
-            """Pairs of the first ``upto`` rows, which end with a bucket, or (not final) of the complete runs of the one bucket held."""
-            nonlocal group, ids, keys, fp, before
+        def work(upto: int) -> Iterator[pa.RecordBatch]:
+            """Pairs of the first ``upto`` rows, which end with a group."""
+            nonlocal group, ids, keys, fp
             out: list = []
             cuts = np.flatnonzero(np.r_[True, group[1:upto] != group[: upto - 1], True])
             sizes = np.diff(cuts)
-            ends = np.repeat(cuts[1:], sizes)
-            first = True
-            for i, size in zip(cuts[:-1].tolist(), sizes.tolist()):
-                if size > cap or (first and before is not None):
-                    for a, b in runs(keys[i : i + size], cap, before=before if first else None):
-                        ends[i + a : i + b] = i + b
-                first = False
-            if not final:
-                done = ends[ends <= upto - cap - 1]
-                upto = int(done[-1]) if len(done) else 0
-                ends = ends[:upto]
-            if upto:
-                _within_runs(ids[:upto], fp[:upto], ends, limit, cap, out)
-                before = None if final else int(keys[upto - 1])
-                group, ids, keys, fp = group[upto:], ids[upto:], keys[upto:], fp[upto:]
+            paired = group[cuts[:-1]] >> 32 >= _PAIR
+            small = (sizes <= cap) & ~paired
+            rows = np.repeat(small, sizes)
+            _in_small(ids[:upto][rows], fp[:upto][rows], np.repeat(np.cumsum(sizes[small]), sizes[small]), limit, cap, out)
             if out:
                 yield _pairs(out)
+            for i, j, two in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist(), paired[~small].tolist()):
+                own = keys[i:j]
+                across = two and own.min() != own.max()
+                for a, b in near_pairs(np.ascontiguousarray(fp[i:j]), limit):
+                    if across:
+                        apart = own[a] != own[b]
+                        a, b = a[apart], b[apart]
+                    if len(a):
+                        x, y = ids[i + a], ids[i + b]
+                        yield _pairs([(np.minimum(x, y), np.maximum(x, y))])
+            group, ids, keys, fp = group[upto:], ids[upto:], keys[upto:], fp[upto:]
 
         for b in batches:
             if not b.num_rows:
@@ -232,15 +267,13 @@ def _bucket_pairs(limit: int, cap: int = CAP) -> Callable:
             g = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) << 32 | b.column(4).to_numpy(zero_copy_only=False)
             group = np.concatenate([group, g])
             ids = np.concatenate([ids, b.column(0).to_numpy(zero_copy_only=False)])
-            keys = np.concatenate([keys, b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)])
+            keys = np.concatenate([keys, b.column(3).to_numpy(zero_copy_only=False)])
             fp = np.concatenate([fp, np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)])
             whole = int(np.flatnonzero(group != group[-1])[-1]) + 1 if group[0] != group[-1] else 0
             if whole:
-                yield from work(whole, True)
-            if len(ids) > _HELD:
-                yield from work(len(ids), False)
+                yield from work(whole)
         if len(ids):
-            yield from work(len(ids), True)
+            yield from work(len(ids))
 
     return run
 
@@ -285,8 +318,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = durable(rows.mapInArrow(_sketch, "doc_id long, shingle_set binary, fp binary"))
     reps = sketched.filter("shingle_set is not null and doc_id is not null").groupBy("shingle_set").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"))
     reps = durable(reps)
-    tabled = reps.select("rep", "fp").mapInArrow(_explode_tables, "rep long, fp binary, tbl int, key long, bucket int")
-    sorted_ = tabled.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket", F.shiftrightunsigned("key", 1), F.col("key").bitwiseAND(1), "rep")
+    tabled = reps.select("rep", "fp").mapInArrow(_explode_tables(bucket_blocks(reps, _HELD)), "rep long, fp binary, tbl long, key long, bucket int")
+    sorted_ = tabled.repartition("tbl", "bucket").sortWithinPartitions("tbl", "bucket")
     candidates = durable(sorted_.mapInArrow(_bucket_pairs(max_distance(threshold)), "a long, b long").distinct())
     needed = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
     sets = durable(rows.join(needed, rows.doc_id == needed.rep, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "rep long, shingles binary"))
