@@ -68,7 +68,12 @@ def images(spark, sf, h: int = 40, w: int = 56):
         i = np.arange(h * w * 3)
         return pd.DataFrame([m.image_value(((int(k) * 31 + i * 7) % 256).astype(np.uint8).reshape(h, w, 3)) for k in keys])
 
-    return table(spark, sf, "part").filter("p_partkey % 20 = 0").select("p_partkey", make("p_partkey").alias("image"))
+    return table(spark, sf, "part").select("p_partkey", make("p_partkey").alias("image"))
+
+
+def _sql_images(spark, sf, h: int = 40, w: int = 56):
+    """The images that the SQL of a query covers: one part in twenty."""
+    return images(spark, sf, h, w).filter("p_partkey % 20 = 0")
 
 
 def _stats(df, col: str):
@@ -81,12 +86,12 @@ _I = "(SELECT p_partkey, unnest(range(0, 6720)) AS i FROM part WHERE p_partkey %
 
 @query("s2_t20_image_properties", "SELECT p_partkey, 40 AS height, 56 AS width, 6720 AS nbytes FROM part WHERE p_partkey % 20 = 0")
 def s2(spark, sf):
-    return images(spark, sf).select("p_partkey", "image.height", "image.width", m.num_bytes(F.col("image")).alias("nbytes"))
+    return _sql_images(spark, sf).select("p_partkey", "image.height", "image.width", m.num_bytes(F.col("image")).alias("nbytes"))
 
 
 @query("t1_crop_dense", f"SELECT p_partkey, sum((p_partkey * 31 + i * 7) % 256)::BIGINT AS total, count(*) AS nbytes FROM {_I} WHERE i // 168 BETWEEN 5 AND 24 AND i // 3 % 56 BETWEEN 7 AND 36 GROUP BY 1")
 def t1d(spark, sf):
-    c = images(spark, sf).select("p_partkey", m.crop(F.col("image"), 5, 7, 20, 30).alias("c"))
+    c = _sql_images(spark, sf).select("p_partkey", m.crop(F.col("image"), 5, 7, 20, 30).alias("c"))
     total = F.aggregate(F.sequence(F.lit(1), F.length("c.data")), F.lit(0).cast("bigint"), lambda a, i: a + F.conv(F.hex(F.substring(F.col("c.data"), i, F.lit(1))), 16, 10).cast("bigint"))
     return c.select("p_partkey", total.alias("total"), m.num_bytes(F.col("c")).cast("long").alias("nbytes"))
 
@@ -111,7 +116,7 @@ def t9(spark, sf):
 
 @query("t10_t13_t14_patches", "SELECT p_partkey, 1 AS gt, 2 * h AS gh, 2 * w AS gw, 2 * h * 2 * w * 3 * 2 * 14 * 14 * 4 AS nbytes FROM part, (SELECT ceil(40 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS h, ceil(56 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS w) WHERE p_partkey % 20 = 0")
 def t10(spark, sf):
-    p = images(spark, sf).select("p_partkey", m.image_patches(F.col("image")).alias("p"))
+    p = _sql_images(spark, sf).select("p_partkey", m.image_patches(F.col("image")).alias("p"))
     return p.select("p_partkey", F.col("p.grid")[0].alias("gt"), F.col("p.grid")[1].alias("gh"), F.col("p.grid")[2].alias("gw"), m.num_bytes(F.col("p")).alias("nbytes"))
 
 
@@ -124,12 +129,12 @@ def t13(spark, sf):
 
 @query("t18_tiles", "SELECT p_partkey, '3x3x32x32' AS shape FROM part WHERE p_partkey % 20 = 0")
 def t18(spark, sf):
-    return _stats(images(spark, sf, 40, 80).select("p_partkey", m.tiles(F.col("image"), 32).alias("t")), "t").drop("digest")
+    return _stats(_sql_images(spark, sf, 40, 80).select("p_partkey", m.tiles(F.col("image"), 32).alias("t")), "t").drop("digest")
 
 
 @query("t19_set_format", "SELECT p_partkey, 'NHWC' AS format, 26880 AS nbytes FROM part WHERE p_partkey % 20 = 0")
 def t19(spark, sf):
-    t = images(spark, sf).select("p_partkey", m.set_format(m.to_tensor(F.col("image")), "NHWC").alias("t"))
+    t = _sql_images(spark, sf).select("p_partkey", m.set_format(m.to_tensor(F.col("image")), "NHWC").alias("t"))
     return t.select("p_partkey", "t.format", m.num_bytes(F.col("t")).alias("nbytes"))
 
 

@@ -222,3 +222,16 @@ def test_jpeg_files(spark, tmp_path):
     assert len(r) == 1 and (r[0].image.height, r[0].image.width) == (30, 40)
     x = media.image_array(r[0].image.asDict())
     assert np.abs(x.astype(int) - [200, 100, 50]).max() <= 2  # RGB, not the reader's BGR
+
+
+@pytest.mark.parametrize("name", ["t2_resize", "t6_resize_crop_bicubic", "t9_fused_pipeline", "w2_perceptual_hash"])
+def test_image_queries_cover_the_whole_table(spark, name):
+    want = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    assert {r.p_partkey for r in QUERIES[name](spark, SF).select("p_partkey").collect()} == want
+
+
+def test_video_patches_cover_the_whole_table(spark):
+    """Two frames to a step of the grid."""
+    want = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/part.parquet").groupBy((F.col("p_partkey") % 7).alias("v")).agg(F.count("*")).collect()}
+    got = {r.video: int(r.grid.split("x")[0]) for r in QUERIES["t13_video_patches"](spark, SF).collect()}
+    assert got == {v: -(-n // 2) for v, n in want.items()}
