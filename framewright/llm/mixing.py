@@ -17,7 +17,7 @@ sources (one row each). DataFrame functions only; no Python runs on the executor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fresh, word_count
@@ -142,9 +142,22 @@ def taken_words(schedule: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mixture has them: each row as often as it is taken whole (a cut one counts from half its words on), columns unchanged."""
-    key, copies, total, rows = fresh(docs, "mix_key", "mix_copies", "mix_total", "mix_rows")
-    taken = taken_words(mix_schedule(docs, id_col, text_col, source_col, **options)).filter("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias(key)).agg(F.sum("taken").alias(total), F.sum("size").alias(rows)).withColumn(copies, F.floor(F.col(total) / F.col(rows) + 0.5).cast("int")).filter(F.col(copies) > 0).select(key, copies)
-    out = docs.filter(word_count(F.col(f"`{text_col}`")) > 0).join(times, docs[f"`{id_col}`"].eqNullSafe(times[key]))
+    """``docs`` as the mixture has them: each row as often as it is taken whole (a cut one counts from half its words on), columns unchanged.
+
+    Rows are counted one by one, those with a null or repeated identifier too. Rows alike in identifier, source and number of words have equal standing in
+    the schedule: the copies of such a group go to its rows in the order of their texts' hashes, most copies first.
+    """
+    key, copies, place, size = fresh(docs, "mix_key", "mix_copies", "mix_place", "mix_size")
+    taken = taken_words(mix_schedule(docs, id_col, text_col, source_col, **options)).filter("size > 0")
+    per_row = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    times = taken.groupBy(_alike("doc_id", "source", F.col("size")).alias(key)).agg(F.sort_array(F.collect_list(per_row), asc=False).alias(copies)).filter(F.col(copies)[0] > 0)
+    out = docs.withColumn(size, word_count(F.col(f"`{text_col}`"))).filter(F.col(size) > 0).withColumn(key, _alike(id_col, source_col, F.col(size))).join(times, key)
+    out = out.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(F.col(f"`{text_col}`").cast("string")))))
+    out = out.withColumn(copies, F.col(copies)[F.col(place) - 1]).filter(F.col(copies) > 0)
     return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _alike(id_col: str, source_col: str, size: Column) -> Column:
+    """One string for each identifier, source and size, nulls apart from all else."""
+    doc, source = (F.col(f"`{c}`").cast("string") for c in (id_col, source_col))
+    return F.concat_ws(":", size.cast("string"), F.coalesce(F.length(doc), F.lit(-1)).cast("string"), F.coalesce(doc, F.lit("")), F.coalesce(F.concat(F.lit("v"), source), F.lit("n")))

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -340,3 +340,14 @@ def test_pairs_of_blocks_are_all_compared():
     got = [p for out in simhash._bucket_pairs(64, cap=16)(iter(rows.to_batches(max_chunksize=70))) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
     want = [(i, j) for t in range(simhash.TABLES) for i in range(300) for j in range(i + 1, 300) if own[t][i] == own[t][j]]
     assert blocks and sorted(got) == sorted(want)
+
+
+def test_mixed_documents_counts_rows_with_null_or_repeated_identifiers(spark):
+    """Each row comes as often as its own share of the schedule says, whatever others share its identifier."""
+    rows = [(None if i % 2 else 7, " ".join(f"{s}{i}x{j}" for j in range(20 + i)), s) for s in "abc" for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mixing.taken_words(mixing.mix_schedule(d, block_words=64)).collect():
+        want[r.doc_id, r.source, r.size] += int(r.taken / r.size + 0.5)
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed_documents(d, block_words=64).collect())
+    assert got == +want and len(+want) < len(rows) and max(want.values()) > 1
