@@ -216,6 +216,19 @@ def identify(docs: DataFrame, model: HierarchicalModel | None = None, id_col: st
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language, columns unchanged; ``und`` rows go."""
-    model = train(docs, id_col, text_col, lang_col)
-    return docs.filter(predict_column(model, F.col(f"`{text_col}`"))["lang"] != UNDETERMINED)
+    """The rows of ``docs`` that have a language, columns unchanged; ``und`` rows go.
+
+    Where no labelled row can be learnt from, nothing can be identified: rows with a letter stay and only null and letterless texts go.
+    """
+    model, text = train(docs, id_col, text_col, lang_col), F.col(f"`{text_col}`")
+    if not model.langs:
+        return docs.filter(_letter_column(text))
+    return docs.filter(predict_column(model, text)["lang"] != UNDETERMINED)
+
+
+def _letter_column(text: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(t) for t in texts], dtype=bool)
+
+    return run(text.cast("string"))

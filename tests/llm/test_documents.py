@@ -351,3 +351,12 @@ def test_mixed_documents_counts_rows_with_null_or_repeated_identifiers(spark):
         want[r.doc_id, r.source, r.size] += int(r.taken / r.size + 0.5)
     got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.mixed_documents(d, block_words=64).collect())
     assert got == +want and len(+want) < len(rows) and max(want.values()) > 1
+
+
+def test_keep_identified_without_a_labelled_row(docs):
+    """No label at all, or only held-out ones: documents with letters stay."""
+    want = sorted((r[0] is None, r[0] or 0) for r in edge_rows() if langid.has_letter(r[1]))
+    for d in (docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.col("lang")))):
+        kept = langid.keep_identified(d)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == want
