@@ -301,6 +301,18 @@ def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_id
     return _by_item(tokens.select(key, index, vec), key, index, vec, kernel, "center int, vec array<double>")
 
 
-def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 8192) -> DataFrame:
-    """(key, token, component): components of cosine above tau within an item, numbered by their smallest tokens."""
-    return _by_item(tokens.select(key, index, vec), key, index, vec, lambda x, _: list(enumerate(map(int, cp.components(cp.adjacency(x.astype(np.float64), tau))))) if not cp.gated(len(x), limit) else [(i, i) for i in range(len(x))], "token int, component int")
+def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 8192, eps: float | None = None) -> DataFrame:
+    """(key, token, component): components of cosine above tau within an item, numbered by their smallest tokens.
+
+    With ``eps`` they are found from sampled anchors (exact where all tokens are anchors) and numbered by their token of greatest degree.
+    """
+
+    def run(x, _):
+        if cp.gated(len(x), limit):
+            return [(i, i) for i in range(len(x))]
+        adj = cp.adjacency(x.astype(np.float64), tau)
+        if eps is None:
+            return list(enumerate(map(int, cp.components(adj))))
+        return [(int(i), c) for c, group in enumerate(cp.sampled_components(adj, eps)) for i in group]
+
+    return _by_item(tokens.select(key, index, vec), key, index, vec, run, "token int, component int")

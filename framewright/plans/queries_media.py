@@ -293,6 +293,11 @@ def c3(spark, sf):
     return n.select("label", (F.col("n") > 8192).alias("gated"), smp.compress_target(F.col("n")).alias("k"))
 
 
+@query("c3_sampled_components")
+def c3_sampled(spark, sf):
+    return m.token_components(frames(spark, sf), "video", "frame_idx", tau=0.32, eps=0.05)
+
+
 @query("k12_match_score", "SELECT p_partkey, round(1 / (1 + exp(p_size / 10.0::DOUBLE - p_retailprice / 900)), 6) AS score FROM part")
 def k12(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(match_score(F.expr("p_size / 10.0D"), F.expr("p_retailprice / 900")), 6).alias("score"))

@@ -235,3 +235,20 @@ def test_video_patches_cover_the_whole_table(spark):
     want = {r[0]: r[1] for r in spark.read.parquet(f"{SF}/part.parquet").groupBy((F.col("p_partkey") % 7).alias("v")).agg(F.count("*")).collect()}
     got = {r.video: int(r.grid.split("x")[0]) for r in QUERIES["t13_video_patches"](spark, SF).collect()}
     assert got == {v: -(-n // 2) for v, n in want.items()}
+
+
+def test_sampled_components_of_items(spark):
+    """The operator applies the anchor sampling to each item; at the query's eps small items are exact up to the numbering."""
+    from framewright.functions import compress as cp
+
+    x = {k: np.random.default_rng(k).normal(size=(60, 4)) for k in (1, 2)}
+    d = spark.createDataFrame([(k, i, v.tolist()) for k, a in x.items() for i, v in enumerate(a)], "item int, token_idx int, embedding array<double>")
+    groups = lambda rows: {k: sorted(sorted(r.token for r in rows if (r["item"], r.component) == (k, c)) for c in {r.component for r in rows if r["item"] == k}) for k in x}
+    exact = groups(media.token_components(d, tau=0.9).collect())
+    few = media.token_components(d, tau=0.9, eps=1.0).collect()  # 5 anchors
+    for k, a in x.items():
+        want = cp.sampled_components(cp.adjacency(a, 0.9), 1.0)
+        assert sorted((r.component, r.token) for r in few if r["item"] == k) == [(c, i) for c, g in enumerate(want) for i in g]
+    assert groups(few) != exact and groups(media.token_components(d, tau=0.9, eps=0.05).collect()) == exact
+    q = QUERIES["c3_sampled_components"](spark, SF)
+    assert q.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
