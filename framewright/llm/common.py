@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +84,19 @@ def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     send the driver about 1.5 n rows however many tasks there are."""
     h = F.xxhash64(key)
     return df.filter(share_below(h, F.lit(1.5 * n / max(1, df.count())))).orderBy(h, key).limit(n)
+
+
+@lru_cache(maxsize=1)
+def one_blas_thread() -> None:
+    """Keep this process's matrix products on one thread: a Spark task has one core, and small products on many threads only wait for each other."""
+    try:
+        with open("/proc/self/maps") as f:
+            libraries = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:  # no such file on this system; the environment's setting holds
+        return
+    for path in sorted(libraries):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

@@ -1,17 +1,17 @@
 """Personal data: base recognisers and a character-level bidirectional LSTM with a CRF, written and trained in numpy.
 
-The base recognisers (``base_spans``) are fixed patterns with checks. The network reads overlapping windows of characters; a
-position that several windows cover gets the mean of their emissions, and one Viterbi pass over a whole region decides its
-tags, so windows never disagree in the result. A decoded span joins the base ones if it is confident, passes its kind's check (an @ and a
+The base recognisers (``base_spans``) are fixed patterns with checks. The network reads every character of every text in overlapping windows; a
+position that two windows cover gets the mean of their emissions, and the CRF decodes the text as a whole: wherever a bound over emissions and
+transitions doesn't prove that the best path is outside, a Viterbi pass decides, so windows never disagree in the result and a text's spans don't depend on
+the texts beside it. A decoded span joins the base ones if it is confident, passes its kind's check (a name, an @ or a spelling of it and a
 dotted host; four parts of at most 255; 12 to 19 digits under Luhn; 9 to 15 digits) and overlaps no base span.
 
-Every such span has an @ or at least four digits, so regions without either can't yield one and aren't run through the network; all others
-of a text are, however long it is. Training spans come labelled from ``labelled_samples`` or from the caller.
+Training spans come labelled from ``labelled_samples`` or from the caller.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_blas_thread
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,210 +91,314 @@ def span_list(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-# ---- the network -----------------------------------------------------------------------------------------------
+# ---- the network
 
-WINDOW, STRIDE, HIDDEN, EMBED, CHARS = 96, 48, 24, 12, 160
+WINDOW, OVERLAP, HIDDEN, EMBED, CHARS = 240, 48, 24, 12, 160
 TAGS = 1 + 2 * len(KINDS)
 CONFIDENCE = 0.8
+#: Windows run at once, characters whose emissions are held at once, and positions decoded at once.
+_WINDOWS, _HELD, _DECODED = 1024, 1 << 19, 1 << 17
+_NEVER = np.float32(-1e4)
 
 
 def codes(text: str) -> np.ndarray:
-    """Symbols: ASCII as itself, letters and other characters beyond it in two classes, from 128 on."""
+    """Symbols: ASCII as itself, letters and other characters beyond it in two classes, from 128 on. 0 is the padding."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if c.max(initial=0) < 127:
-        return c.astype(np.int64) + 1
-    return np.where(c < 127, c + 1, np.where(c < 0x2000, 129, 130)).astype(np.int64)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
+        return (c + 1).astype(np.uint8)
+    return np.where(c < 127, c + 1, np.where(c < 0x2000, 129, 130)).astype(np.uint8)
 
 
 class Tagger:
-    """Emissions from a bidirectional LSTM, transitions of a CRF. Tag 0 is outside, 1 + 2k begins kind k and 2 + 2k continues it."""
+    """Emissions from a bidirectional LSTM, transitions of a CRF. Tag 0 is outside, 1 + 2k begins kind k and 2 + 2k continues it; the tags before and
+    after a text are outside. Both directions run side by side, the backward one over the reversed window (axis 0 of ``wx``, ``wh`` and ``b``)."""
 
     def __init__(self, seed: int = 11) -> None:
         r, h = np.random.default_rng(seed), HIDDEN
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"emb": f(CHARS, EMBED, scale=0.5), "out": f(2 * h, TAGS, scale=0.2), "ob": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32), "start": np.zeros(TAGS, np.float32)}
-        for d in "fb":
-            self.p |= {f"wx{d}": f(EMBED, 4 * h, scale=0.3), f"wh{d}": f(h, 4 * h, scale=0.2), f"b{d}": np.zeros(4 * h, np.float32)}
-            self.p[f"b{d}"][h : 2 * h] = 1
+        self.p = {"emb": f(CHARS, EMBED, scale=0.5), "wx": f(2, EMBED, 4 * h, scale=0.3), "wh": f(2, h, 4 * h, scale=0.2), "b": np.zeros((2, 4 * h), np.float32)}
+        self.p |= {"out": f(2 * h, TAGS, scale=0.2), "ob": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32)}
+        self.p["b"][:, h : 2 * h] = 1
         # A kind is continued only after it was begun.
         self.legal = np.zeros((TAGS, TAGS), np.float32)
         for k in range(len(KINDS)):
-            self.legal[:, 2 + 2 * k] = -1e4
+            self.legal[:, 2 + 2 * k] = _NEVER
             self.legal[1 + 2 * k, 2 + 2 * k] = self.legal[2 + 2 * k, 2 + 2 * k] = 0
 
-    def _lstm(self, c: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        p, h = self.p, HIDDEN
-        x = (p["emb"] @ p[f"wx{d}"] + p[f"b{d}"])[c]
-        hs, cs = np.zeros((len(c), h), np.float32), np.zeros((len(c), h), np.float32)
-        out, saved = np.empty((len(c), c.shape[1], h), np.float32), []
-        for t in range(c.shape[1]) if d == "f" else range(c.shape[1] - 1, -1, -1):
-            z = x[:, t] + hs @ p[f"wh{d}"]
-            s, g = _sigmoid(z[:, : 3 * h]), np.tanh(z[:, 3 * h :])
-            i, f, o = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :]
-            before, prev = cs, hs
-            cs = f * cs + i * g
-            tc = np.tanh(cs)
-            hs = o * tc
-            out[:, t] = hs
-            if keep:
-                saved.append((t, i, f, o, g, before, tc, prev))
-        return out, saved
-
-    def emissions(self, c: np.ndarray) -> np.ndarray:
-        h = np.concatenate([self._lstm(c, "f", False)[0], self._lstm(c, "b", False)[0]], axis=2)
-        return h @ self.p["out"] + self.p["ob"]
-
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """Best tags of equally long sequences (n x length x tags)."""
-        trans, first = self.p["trans"] + self.legal, self.p["start"] + self.legal[0]
-        score, back = e[:, 0] + first, []
-        for t in range(1, e.shape[1]):
-            m = score[:, :, None] + trans
-            back.append(m.argmax(axis=1))
-            score = np.take_along_axis(m, back[-1][:, None], axis=1)[:, 0] + e[:, t]
-        tags = [score.argmax(axis=1)]
-        for b in reversed(back):
-            tags.append(b[np.arange(len(b)), tags[-1]])
-        return np.stack(tags[::-1], axis=1)
-
-    def marginals(self, e: np.ndarray) -> np.ndarray:
-        """Probability of each tag at each position, by the forward and backward passes."""
-        return self._passes(e)[3]
-
-    def _passes(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        trans, first = self.p["trans"] + self.legal, self.p["start"] + self.legal[0]
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0] + first
-        for t in range(1, e.shape[1]):
-            m = alpha[:, t - 1, :, None] + trans
-            top = m.max(axis=1)
-            alpha[:, t] = top + np.log(np.exp(m - top[:, None]).sum(axis=1)) + e[:, t]
-        for t in range(e.shape[1] - 2, -1, -1):
-            m = trans + (beta[:, t + 1] + e[:, t + 1])[:, None, :]
-            top = m.max(axis=2)
-            beta[:, t] = top + np.log(np.exp(m - top[:, :, None]).sum(axis=2))
-        top = alpha[:, -1].max(axis=1)
-        z = top + np.log(np.exp(alpha[:, -1] - top[:, None]).sum(axis=1))
-        return alpha, beta, z, np.exp(alpha + beta - z[:, None, None])
-
-    def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, dict, np.ndarray]:
-        """Mean negative log-likelihood and its gradients."""
-        n = len(e)
-        trans, first = self.p["trans"] + self.legal, self.p["start"] + self.legal[0]
-        alpha, beta, z, de = self._passes(e)
-        pair = np.exp(alpha[:, :-1, :, None] + trans + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum(axis=(0, 1))
-        gold = np.zeros_like(trans)
-        np.add.at(gold, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-        g = {"trans": (pair - gold) / n, "start": de[:, 0].sum(axis=0) / n}
-        g["start"] -= np.bincount(y[:, 0], minlength=TAGS) / n
-        score = np.take_along_axis(e, y[:, :, None], axis=2).sum() + first[y[:, 0]].sum() + trans[y[:, :-1], y[:, 1:]].sum()
+    @property
+    def trans(self) -> np.ndarray:
+        return self.p["trans"] + self.legal
+
+    # Gates are in the order input, forget, output, candidate. A logistic gate is 0.5 + 0.5 tanh(z / 2): with the halves in the weights one tanh serves all.
+
+    def _halved(self, name: str) -> np.ndarray:
+        w = self.p[name].copy()
+        w[..., : 3 * HIDDEN] *= 0.5
+        return w
+
+    def window_emissions(self, c: np.ndarray) -> np.ndarray:
+        """Emissions (length x windows x tags) of windows given as columns of symbols (length x windows)."""
+        h, (length, n) = HIDDEN, c.shape
+        table, wh = (np.einsum("ce,deg->dcg", self.p["emb"], self._halved("wx")) + self._halved("b")[:, None, :]).astype(np.float32), self._halved("wh")
+        out = np.empty((length, n, TAGS), np.float32)
+        z, gates = np.empty((n, 4 * h), np.float32), np.empty((n, 3 * h), np.float32)
+        for d in (0, 1):
+            hs, cell, tc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
+            part, fed = self.p["out"][d * h : (d + 1) * h], np.empty((n, 4 * h), np.float32)
+            for t in range(length) if d == 0 else range(length - 1, -1, -1):
+                np.take(table[d], c[t], axis=0, out=z, mode="clip")
+                np.matmul(hs, wh[d], out=fed)
+                z += fed
+                np.tanh(z, out=z)
+                np.multiply(z[:, : 3 * h], 0.5, out=gates)
+                gates += 0.5
+                cell *= gates[:, h : 2 * h]
+                cell += gates[:, :h] * z[:, 3 * h :]
+                np.tanh(cell, out=tc)
+                np.multiply(tc, gates[:, 2 * h :], out=hs)
+                if d == 0:
+                    np.matmul(hs, part, out=out[t])
+                else:
+                    out[t] += hs @ part
+        out += self.p["ob"]
+        return out
+
+    # ---- training
+
+    def _forward(self, c: np.ndarray) -> tuple[np.ndarray, dict]:
+        """Emissions (length x windows x tags) and what the gradient needs of them."""
+        h, (length, n) = HIDDEN, c.shape
+        table, wh = np.einsum("ce,deg->dcg", self.p["emb"], self._halved("wx")) + self._halved("b")[:, None, :], self._halved("wh")
+        x = np.stack([table[0][c], table[1][c[::-1]]], axis=1).astype(np.float32)  # length, direction, windows, gates
+        hs, cs = np.zeros((length + 1, 2, n, h), np.float32), np.zeros((length + 1, 2, n, h), np.float32)
+        acts, tcs = np.empty((length, 2, n, 4 * h), np.float32), np.empty((length, 2, n, h), np.float32)
+        for t in range(length):
+            a = acts[t]
+            np.tanh(x[t] + np.matmul(hs[t], wh), out=a)
+            a[..., : 3 * h] *= 0.5
+            a[..., : 3 * h] += 0.5
+            cs[t + 1] = a[..., h : 2 * h] * cs[t] + a[..., :h] * a[..., 3 * h :]
+            np.tanh(cs[t + 1], out=tcs[t])
+            hs[t + 1] = a[..., 2 * h : 3 * h] * tcs[t]
+        hid = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], axis=2)
+        return hid @ self.p["out"] + self.p["ob"], {"c": c, "hs": hs, "cs": cs, "acts": acts, "tcs": tcs, "hid": hid}
+
+    def _crf(self, e: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Mean negative log-likelihood of tags y (length x windows), and its gradients by transitions and emissions."""
+        length, n = y.shape
+        a = np.exp(self.trans.astype(np.float64))
+        top = e.max(axis=2, keepdims=True)
+        s = np.exp((e - top).astype(np.float64))
+        alpha, beta, norm = np.empty_like(s), np.empty_like(s), np.empty((length, n, 1))
+        before = np.broadcast_to(a[0], (n, TAGS))
+        for t in range(length):
+            x = before * s[t]
+            norm[t] = x.sum(axis=1, keepdims=True)
+            alpha[t] = x / norm[t]
+            before = alpha[t] @ a
+        last = alpha[-1] @ a[:, 0]
+        beta[-1] = a[:, 0] / last[:, None]
+        for t in range(length - 2, -1, -1):
+            beta[t] = (s[t + 1] * beta[t + 1] / norm[t + 1]) @ a.T
+        z = (np.log(norm[:, :, 0]) + top[:, :, 0]).sum(axis=0) + np.log(last)
+        w = (s[1:] * beta[1:] / norm[1:]).reshape(-1, TAGS)
+        pair = a * (alpha[:-1].reshape(-1, TAGS).T @ w)
+        de = alpha * beta
+        pair[0] += de[0].sum(axis=0)
+        pair[:, 0] += de[-1].sum(axis=0)
+        gold, tr = np.zeros((TAGS, TAGS)), self.trans
+        path = np.concatenate([np.zeros((1, n), y.dtype), y, np.zeros((1, n), y.dtype)])
+        np.add.at(gold, (path[:-1].ravel(), path[1:].ravel()), 1)
+        score = np.take_along_axis(e, y[:, :, None], axis=2).sum() + (gold * tr)[gold > 0].sum()
         np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], axis=2) - 1, axis=2)
-        return float((z.sum() - score) / n), g, de / n
+        return float((z.sum() - score) / n), (pair - gold) / n, de / n
 
-    def _back(self, c: np.ndarray, d: str, saved: list, dout: np.ndarray, g: dict) -> None:
+    def gradients(self, c: np.ndarray, y: np.ndarray, local: float = 0.3) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients of windows c with tags y (both windows x length)."""
         p, h = self.p, HIDDEN
-        wh, dh, dc = p[f"wh{d}"], np.zeros((len(c), h), np.float32), np.zeros((len(c), h), np.float32)
-        dz_all, gw = np.empty((len(c), c.shape[1], 4 * h), np.float32), np.zeros_like(wh)
-        for t, i, f, o, gg, before, tc, prev in reversed(saved):
-            dh = dh + dout[:, t]
-            dc = dc + dh * o * (1 - tc * tc)
-            dz = dz_all[:, t]
-            dz[:, :h], dz[:, h : 2 * h] = dc * gg * i * (1 - i), dc * before * f * (1 - f)
-            dz[:, 2 * h : 3 * h], dz[:, 3 * h :] = dh * tc * o * (1 - o), dc * i * (1 - gg * gg)
-            gw += prev.T @ dz
-            dh, dc = dz @ wh.T, dc * f
-        sums = np.zeros((CHARS, 4 * h), np.float32)
-        np.add.at(sums, c.ravel(), dz_all.reshape(-1, 4 * h))
-        g[f"wh{d}"], g[f"b{d}"], g[f"wx{d}"] = gw, sums.sum(axis=0), p["emb"].T @ sums
-        g["emb"] = g.get("emb", 0) + sums @ p[f"wx{d}"].T
-
-    def fit(self, c: np.ndarray, y: np.ndarray, steps: int = 900, batch: int = 40, rate: float = 0.01, seed: int = 17) -> list[float]:
-        """Adam over random batches of windows c with tags y."""
+        e, kept = self._forward(np.ascontiguousarray(c.T))
+        loss, gtrans, de = self._crf(e, np.ascontiguousarray(y.T))
+        if local:  # each position's own cross-entropy: keeps the emissions themselves low where a tag has no place
+            s = np.exp(e - e.max(axis=2, keepdims=True))
+            s /= s.sum(axis=2, keepdims=True)
+            loss -= local * float(np.log(np.take_along_axis(s, y.T[:, :, None], axis=2) + 1e-30).sum()) / len(c)
+            np.put_along_axis(s, y.T[:, :, None], np.take_along_axis(s, y.T[:, :, None], axis=2) - 1, axis=2)
+            de = de + local * s / len(c)
+        de, hid, acts, tcs, cs, hs = de.astype(np.float32), kept["hid"], kept["acts"], kept["tcs"], kept["cs"], kept["hs"]
+        g = {"trans": gtrans, "out": hid.reshape(-1, 2 * h).T @ de.reshape(-1, TAGS), "ob": de.sum(axis=(0, 1))}
+        back = de @ p["out"].T
+        dout = np.stack([back[:, :, :h], back[::-1, :, h:]], axis=1)
+        length, n = c.shape[1], c.shape[0]
+        dz_all, wht = np.empty((length, 2, n, 4 * h), np.float32), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
+        dh, dc = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        for t in range(length - 1, -1, -1):
+            a, dz = acts[t], dz_all[t]
+            i, f, o, cand = a[..., :h], a[..., h : 2 * h], a[..., 2 * h : 3 * h], a[..., 3 * h :]
+            dh = dh + dout[t]
+            dc = dc + dh * o * (1 - tcs[t] * tcs[t])
+            dz[..., :h], dz[..., h : 2 * h] = dc * cand, dc * cs[t]
+            dz[..., 2 * h : 3 * h], dz[..., 3 * h :] = dh * tcs[t], dc * i * (1 - cand * cand)
+            dz[..., : 3 * h] *= a[..., : 3 * h] * (1 - a[..., : 3 * h])
+            dh, dc = np.matmul(dz, wht), dc * f
+        order = np.stack([kept["c"], kept["c"][::-1]])
+        seen = [np.eye(CHARS, dtype=np.float32)[order[d].ravel()].T @ dz_all[:, d].reshape(-1, 4 * h) for d in (0, 1)]
+        g["wh"] = np.stack([hs[:-1, d].reshape(-1, h).T @ dz_all[:, d].reshape(-1, 4 * h) for d in (0, 1)])
+        g["b"], g["wx"] = np.stack([x.sum(axis=0) for x in seen]), np.stack([p["emb"].T @ x for x in seen])
+        g["emb"] = sum(x @ p["wx"][d].T for d, x in enumerate(seen))
+        return loss, g
+
+    def fit(self, c: np.ndarray, y: np.ndarray, steps: int = 800, batch: int = 24, rate: float = 0.03, seed: int = 17) -> list[float]:
+        """Adam over random batches of windows c with tags y (windows x length)."""
+        one_blas_thread()
         r, m, v, losses = np.random.default_rng(seed), {k: 0 for k in self.p}, {k: 0 for k in self.p}, []
         for n in range(1, steps + 1):
             rows = r.integers(0, len(c), batch)
-            cb, yb = c[rows], y[rows]
-            (hf, sf), (hb, sb) = self._lstm(cb, "f", True), self._lstm(cb, "b", True)
-            hid = np.concatenate([hf, hb], axis=2)
-            loss, g, de = self._crf(hid @ self.p["out"] + self.p["ob"], yb)
+            loss, g = self.gradients(c[rows], y[rows])
             losses.append(loss)
-            de = de.astype(np.float32)
-            flat = hid.reshape(-1, 2 * HIDDEN)
-            g["out"], g["ob"] = flat.T @ de.reshape(-1, TAGS), de.sum(axis=(0, 1))
-            dhid = de @ self.p["out"].T
-            self._back(cb, "f", sf, dhid[:, :, :HIDDEN], g)
-            self._back(cb, "b", sb, dhid[:, :, HIDDEN:], g)
-            norm = float(np.sqrt(sum((x**2).sum() for x in g.values())))
-            lr = rate * min(1, 5 / (norm + 1e-6)) * (1 if n < 0.7 * steps else 0.3)
+            lr = rate * 0.5 * (1.02 + np.cos(np.pi * n / steps))
             for k in self.p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
                 self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.99**n)) + 1e-8)).astype(np.float32)
         return losses
 
-    # ---- whole texts ----
-
-    def spans(self, texts: list[str], batch: int = 512) -> list[list[tuple[int, int, int]]]:
-        """Decoded spans (start, kind, end) of each text that are confident and pass their kind's check."""
-        regions = [(d, s, e) for d, t in enumerate(texts) for s, e in regions_of(t)]
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        regions.sort(key=lambda r: r[2] - r[1])
+    # ---- whole texts
+
+    def emissions(self, parts: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+        """Emissions of the ranges [lo, hi) of texts (given as symbols). A text's windows begin every ``WINDOW - OVERLAP`` characters from its start, the last one
+        ends with it (padded to a multiple of 48); a position that two windows cover gets their mean. So they depend on the text alone, not on the range or on other texts."""
+        step = WINDOW - OVERLAP
+        todo: dict[int, list] = {}
+        out, covers = [], []
+        for i, (c, lo, hi) in enumerate(parts):
+            out.append(np.zeros((hi - lo, TAGS), np.float32))
+            covers.append(np.zeros(hi - lo, np.float32))
+            windows = max(1, -(-(len(c) - OVERLAP) // step))
+            for w in range(max(0, -(-(lo - WINDOW + 1) // step)), min(windows, -(-hi // step))):
+                real = min(WINDOW, len(c) - w * step)
+                todo.setdefault(-(-real // 48) * 48, []).append((i, w * step, real))
+        for length, windows in todo.items():
+            for at in range(0, len(windows), _WINDOWS):
+                some = windows[at : at + _WINDOWS]
+                m = np.zeros((len(some), length), np.uint8)
+                for row, (i, s, real) in zip(m, some):
+                    row[:real] = parts[i][0][s : s + real]
+                em = self.window_emissions(np.ascontiguousarray(m.T)).transpose(1, 0, 2)
+                for e, (i, s, real) in zip(em, some):
+                    _, lo, hi = parts[i]
+                    a, b = max(lo, s), min(hi, s + real)
+                    out[i][a - lo : b - lo] += e[a - s : b - s]
+                    covers[i][a - lo : b - lo] += 1
+        for o, n in zip(out, covers):
+            twice = n > 1
+            o[twice] /= n[twice, None]
+        return out
+
+    def candidates(self, margin: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches outside of which the best path of a text is surely outside; ``margin`` is the best other emission less that of outside, by position.
+
+        A path with the other tags on [a, b) beats the one with outside there only if the sum over [a, b) of margin + within, plus ``ends``, isn't negative,
+        where ``within`` and ``ends`` bound what transitions can add. A position stays if some such stretch holds it: if the highest later
+        prefix sum less the lowest earlier one reaches -ends.
+        """
+        tr = self.trans.astype(np.float64)
+        within = tr[1:, 1:].max() - tr[0, 0]
+        ends = (tr[0, 1:].max() - tr[0, 0]) + (tr[1:, 0].max() - tr[0, 0]) - within
+        total = np.concatenate([[0.0], np.cumsum(margin.astype(np.float64) + within)])
+        low, high = np.minimum.accumulate(total[:-1]), np.maximum.accumulate(total[:0:-1])[::-1]
+        live = np.flatnonzero(np.diff(np.concatenate([[False], high - low + ends >= -1e-3, [False]]).astype(np.int8)))
+        return list(zip(live[::2].tolist(), live[1::2].tolist()))
+
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags of stretches (stretches x length x tags) that are preceded and followed by outside, and the marginal probability of each."""
+        n, length, _ = e.shape
+        tr = self.trans
+        score, back = tr[0] + e[:, 0], np.empty((length, n, TAGS), np.uint8)
+        for t in range(1, length):
+            m = score[:, :, None] + tr
+            best = m.argmax(axis=1)
+            back[t] = best
+            score = np.take_along_axis(m, best[:, None], axis=1)[:, 0] + e[:, t]
+        tags = np.empty((n, length), np.uint8)
+        tags[:, -1] = (score + tr[:, 0]).argmax(axis=1)
+        rows = np.arange(n)
+        for t in range(length - 1, 0, -1):
+            tags[:, t - 1] = back[t, rows, tags[:, t]]
+        a, s = np.exp(tr), np.exp(e - e.max(axis=2, keepdims=True))
+        forward, sure = np.empty((length, n, TAGS), np.float32), np.empty((n, length), np.float32)
+        x = a[0] * s[:, 0]
+        forward[0] = x / x.sum(axis=1, keepdims=True)
+        for t in range(1, length):
+            x = (forward[t - 1] @ a) * s[:, t]
+            forward[t] = x / x.sum(axis=1, keepdims=True)
+        b = np.broadcast_to(a[:, 0], (n, TAGS))
+        for t in range(length - 1, -1, -1):
+            x = forward[t] * b
+            sure[:, t] = x[rows, tags[:, t]] / x.sum(axis=1)
+            b = (s[:, t] * b) @ a.T
+            b = b / b.max(axis=1, keepdims=True)
+        return tags, sure
+
+    def tag(self, texts: list[str]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each text the decoded stretches (start, tags, marginals); all else is outside. Every character of every text runs through the network."""
+        symbols = [codes(t) for t in texts]
+        ranges = [(d, lo, min(len(c), lo + _HELD)) for d, c in enumerate(symbols) for lo in range(0, len(c), _HELD)]
+        out: list[list] = [[] for _ in texts]
+        held: list[tuple[int, int, np.ndarray]] = []  # text, start, emissions of a stretch
+        margins: dict[int, list] = {}
         at = 0
-        while at < len(regions):
-            length, stop = 0, at
-            while stop < len(regions) and (stop == at or (stop - at + 1) * -(-(regions[stop][2] - regions[stop][1]) // STRIDE) <= batch):
-                length, stop = regions[stop][2] - regions[stop][1], stop + 1
-            part, at = regions[at:stop], stop
-            self._decode(texts, part, max(WINDOW, -(-length // STRIDE) * STRIDE), out)
-        return [sorted(s) for s in out]
-
-    def _decode(self, texts: list[str], part: list, length: int, out: list) -> None:
-        c = np.zeros((len(part), length), dtype=np.int64)
-        for i, (d, s, e) in enumerate(part):
-            c[i, : e - s] = codes(texts[d][s:e])
-        begins = range(0, length - WINDOW + 1, STRIDE)
-        em, times = np.zeros((len(part), length, TAGS), np.float32), np.zeros((length, 1), np.float32)
-        for b in begins:
-            for lo in range(0, len(part), 1024):
-                em[lo : lo + 1024, b : b + WINDOW] += self.emissions(c[lo : lo + 1024, b : b + WINDOW])
-            times[b : b + WINDOW] += 1
-        em /= times
-        tags = self.viterbi(em)
-        sure = np.take_along_axis(self.marginals(em), tags[:, :, None], axis=2)[:, :, 0]
-        for i in np.flatnonzero((tags > 0).any(axis=1)):
-            d, s, e = part[i]
-            row = tags[i, : e - s]
-            for a in np.flatnonzero(row % 2 == 1):
-                k, b = (row[a] - 1) // 2, a + 1
-                while b < len(row) and row[b] == 2 + 2 * k:
-                    b += 1
-                if sure[i, a:b].mean() >= CONFIDENCE and _check(int(k), texts[d][s + a : s + b]):
-                    out[d].append((s + int(a), int(k), s + int(b)))
-
-
-_TRIGGER = re.compile(r"[0-9@](?:.{0,23}[0-9@])*", re.S)
-MARGIN = 32
-
-
-def regions_of(text: str) -> list[tuple[int, int]]:
-    """Stretches, with a margin on either side, in which a span may lie: those with an @ or at least four digits."""
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        g = m[0]
-        if "@" in g or len(_digits(g)) >= 4:
-            s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-            if out and s <= out[-1][1]:
-                out[-1] = (out[-1][0], e)
-            else:
-                out.append((s, e))
-    return out
-
-
-_HOST = re.compile(r"[^@\s]+\s?@\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+        while at < len(ranges):
+            stop, size = at, 0
+            while stop < len(ranges) and (stop == at or size + ranges[stop][2] - ranges[stop][1] <= _HELD):
+                size, stop = size + ranges[stop][2] - ranges[stop][1], stop + 1
+            for (d, lo, hi), e in zip(ranges[at:stop], self.emissions([(symbols[d], lo, hi) for d, lo, hi in ranges[at:stop]])):
+                margin = e[:, 1:].max(axis=1) - e[:, 0]
+                if len(symbols[d]) <= _HELD:
+                    held += [(d, s, e[s:x].copy()) for s, x in self.candidates(margin)]
+                    continue
+                # A text of more than one range: only its margins are kept, the emissions of its stretches are computed again.
+                margins.setdefault(d, []).append(margin)
+                if hi == len(symbols[d]):
+                    for s, x in self.candidates(np.concatenate(margins.pop(d))):
+                        self._decode([(d, s, np.concatenate([self.emissions([(symbols[d], p, min(x, p + _HELD))])[0] for p in range(s, x, _HELD)]))], out)
+            at = stop
+        self._decode(held, out)
+        for found in out:
+            found.sort(key=lambda x: x[0])
+        return out
+
+    def _decode(self, held: list[tuple[int, int, np.ndarray]], out: list) -> None:
+        held, at = sorted(held, key=lambda x: len(x[2])), 0
+        while at < len(held):
+            stop, length = at, 0
+            while stop < len(held) and (stop == at or (stop - at + 1) * len(held[stop][2]) <= _DECODED):
+                length, stop = len(held[stop][2]), stop + 1
+            e = np.full((stop - at, length, TAGS), _NEVER, np.float32)  # beyond a stretch's end only outside is possible
+            e[:, :, 0] = 0
+            for row, (_, _, x) in zip(e, held[at:stop]):
+                row[: len(x)] = x
+            for (d, s, x), tags, sure in zip(held[at:stop], *self.decode(e)):
+                out[d].append((s, tags[: len(x)], sure[: len(x)]))
+            at = stop
+
+    def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """Decoded spans (start, kind, end) of each text that are confident and pass their kind's check."""
+        out = []
+        for text, found in zip(texts, self.tag(texts)):
+            own = []
+            for s, tags, sure in found:
+                for a in np.flatnonzero(tags % 2 == 1).tolist():
+                    k, b = (int(tags[a]) - 1) // 2, a + 1
+                    while b < len(tags) and tags[b] == 2 + 2 * k:
+                        b += 1
+                    if sure[a:b].mean() >= CONFIDENCE and _check(k, text[s + a : s + b]):
+                        own.append((s + a, k, s + b))
+            out.append(own)
+        return out
+
+
+#: A name, an @ or a spelling of it, and a host whose dots may be spelt out too.
+_HOST = re.compile(r"[^@\s()\[\]]+(?:\s?@\s?|\s?[(\[]\s?at\s?[)\]]\s?|\sat\s(?=.*\sdot\s))[A-Za-z0-9-]+(?:(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?|\sdot\s)[A-Za-z0-9-]+)+", re.I)
 _FOUR = re.compile(r"[0-9]{1,3}([. ]{1,3})[0-9]{1,3}\1[0-9]{1,3}\1[0-9]{1,3}")
 
 
@@ -311,15 +417,15 @@ def _check(kind: int, s: str) -> bool:
 # ---- labelled spans --------------------------------------------------------------------------------------------
 
 
-def labelled_samples(n: int = 5000, seed: int = 23) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from spans that are labelled because they were put there: the four kinds in many forms, among words, and lookalikes."""
-    r = np.random.default_rng(seed)
-    pick = lambda s: s[int(r.integers(len(s)))]
-    num = lambda k: "".join(str(x) for x in r.integers(0, 10, k))
+def labelled_samples(n: int = 3000, seed: int = 23, length: int = 96) -> tuple[np.ndarray, np.ndarray]:
+    """Windows (n x length symbols) and tags from spans that are labelled because they were put there: the four kinds in many forms, among words, and lookalikes."""
+    r = random.Random(seed)
+    pick, between = r.choice, r.randrange
+    num = lambda k: "".join(r.choices("0123456789", k=k))
     lower, syl = "abcdefghijklmnopqrstuvwxyz", "an er in on the re st tion ou ed ing es é ch un de la que os ado ñ ung ß ö ver".split()
 
     def word() -> str:
-        w = "".join(pick(syl) for _ in range(int(r.integers(1, 5))))
+        w = "".join(pick(syl) for _ in range(between(1, 5)))
         w = pick((w, w, w, w.capitalize(), w.upper()))
         return w + pick(("", "", "", "", ",", ".", "!!", ":", ";", "***", " |"))
 
@@ -327,11 +433,12 @@ def labelled_samples(n: int = 5000, seed: int = 23) -> tuple[np.ndarray, np.ndar
         return "".join(pick(lower) for _ in range(k))
 
     def email() -> str:
-        local = name(int(r.integers(3, 10))) + pick(("", ".", "_", "-", "+")) + pick(("", num(2), name(4), num(3)))
-        return local.rstrip(".-_+") + pick(("@", "@", "@", " @ ")) + pick(("mail", "post", name(6))) + pick(("", num(1))) + "." + pick(("example.com", "org", "net", name(2), "co.uk", "example.net"))
+        local = name(between(3, 10)) + pick(("", ".", "_", "-", "+")) + pick(("", num(2), name(4), num(3)))
+        at, dot = pick((("@", "."), ("@", "."), ("@", "."), (" @ ", "."), (" at ", " dot "), (" (at) ", " (dot) "), ("(at)", "."), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" AT ", " DOT ")))
+        return local.rstrip(".-_+") + at + pick(("mail", "post", name(6))) + pick(("", num(1))) + dot + pick(("example.com", "org", "net", name(2), "co.uk", "example.net")).replace(".", dot)
 
     def ip() -> str:
-        return pick((".", ".", ".", " . ")).join(str(int(x)) for x in r.integers(0, 256, 4))
+        return pick((".", ".", ".", " . ")).join(str(between(256)) for _ in range(4))
 
     def card() -> str:
         d = pick("3456") + num(int(pick((11, 13, 14, 14, 14, 17))))
@@ -340,20 +447,20 @@ def labelled_samples(n: int = 5000, seed: int = 23) -> tuple[np.ndarray, np.ndar
 
     def phone() -> str:
         a, b, c = num(3), num(3), num(4)
-        cc = str(int(r.integers(1, 99)))
+        cc = str(between(1, 99))
         return pick((f"+{cc} ({a}) {b}-{c}", f"+{cc} {a} {b} {c}", f"+{cc}-{a}-{b}-{c}", f"+{cc}{a}{b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{cc} {a} {b} {c}"))
 
     def lookalike() -> str:
-        return pick((num(int(r.integers(1, 9))), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", "AKIA" + name(8).upper() + num(8), f"@{name(6)}", f"{name(4)}@{name(4)}", f"{300 + int(r.integers(600))}.{num(2)}.{num(1)}.{num(1)}", name(4) + num(6) + name(5), f"sha{num(3)} {name(3)}{num(9)}{name(4)}{num(5)}", f"({num(4)})", f"/{name(3)}/{num(3)}", num(10), f"{num(4)} {num(4)}", f"{num(3)},{num(3)},{num(3)}"))
+        return pick((num(between(1, 9)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(1)}.{num(1)}.{num(1)}", f"{num(2)}:{num(2)}:{num(2)}", f"${num(3)}.{num(2)}", f"{name(4)} at {name(5)}", "at", "at the", f"(at {name(4)})", "dot", f"[{name(3)}]", "AKIA" + name(8).upper() + num(8), f"@{name(6)}", f"{name(4)}@{name(4)}", f"{300 + between(600)}.{num(2)}.{num(1)}.{num(1)}", name(4) + num(6) + name(5), f"sha{num(3)} {name(3)}{num(9)}{name(4)}{num(5)}", f"({num(4)})", f"/{name(3)}/{num(3)}", num(10), f"{num(4)} {num(4)}", f"{num(3)},{num(3)},{num(3)}"))
 
     makers = (email, ip, card, phone)
-    c, y = np.zeros((n, WINDOW), dtype=np.int64), np.zeros((n, WINDOW), dtype=np.int64)
+    c, y = np.zeros((n, length), dtype=np.uint8), np.zeros((n, length), dtype=np.int64)
     for row in range(n):
         text, tags = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < 2 * length:
             u = r.random()
             if u < 0.16:
-                k = int(r.integers(4))
+                k = between(4)
                 s = makers[k]()
                 t = [1 + 2 * k] + [2 + 2 * k] * (len(s) - 1)
                 tail = pick(("", "", "", ",", ".", ")"))
@@ -362,8 +469,8 @@ def labelled_samples(n: int = 5000, seed: int = 23) -> tuple[np.ndarray, np.ndar
                 t = [0] * len(s)
             gap = pick((" ", " ", " ", "\n"))
             text, tags = text + s + tail + gap, tags + t + [0] * (len(tail) + 1)
-        cut = int(r.integers(0, WINDOW))
-        x, t = codes(text)[cut : cut + WINDOW], np.array(tags[cut : cut + WINDOW])
+        cut = between(0, length)
+        x, t = codes(text)[cut : cut + length], np.array(tags[cut : cut + length])
         # A span that the window's left edge cuts goes on from its second tag, which a window can't begin with.
         if t[0] and t[0] % 2 == 0:
             t[0] -= 1
@@ -406,6 +513,7 @@ def detect_pii(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 ids, texts = b.column(0).slice(lo, 256), b.column(1).slice(lo, 256).to_pylist()
