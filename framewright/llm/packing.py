@@ -37,10 +37,11 @@ class CachedEncoder:
     """Ids of a text as little-endian bytes. The tokenizer never joins characters across white space, so ids are looked up per word.
 
     An unknown word of Latin characters is lowered and cut here as the file's normalizer and pre-tokenizer say, and the
-    library's BPE model gives the ids of each part; any other word goes through the library's whole tokenizer.
+    library's BPE model gives the ids of each part; any other word goes through the library's whole tokenizer. A special token's string in a text
+    gives that token's id, as the library does by default; with ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
 
@@ -52,7 +53,11 @@ class CachedEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.tok.encode_special_tokens = special_as_text
+        special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens", [])]
+        if any(t.split() != [t] for t in special):
+            raise ValueError(f"{path}: has a special token with white space")
+        self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bpe = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
         self.parts: dict[str, bytes] = {}
@@ -67,6 +72,8 @@ class CachedEncoder:
         return raw
 
     def _word(self, word: str) -> bytes:
+        if self.special and self.special(word):
+            return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
         if word.isascii():
             return b"".join(map(self._part, _ASCII_PARTS(word.lower())))
         if _SIMPLE(word):
@@ -98,8 +105,8 @@ _TO_SPACE = str.maketrans({c: " " for c in WS_CHARS})
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> CachedEncoder:
-    return CachedEncoder(path)
+def encoder(path: str, special_as_text: bool = False) -> CachedEncoder:
+    return CachedEncoder(path, special_as_text=special_as_text)
 
 
 def cut_points(length: int, capacity: int = CAPACITY, slack: float = 0.03) -> list[int]:
@@ -155,11 +162,11 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ARROW)] if rows else [pa.array([], type=f.type) for f in _ARROW], schema=_ARROW)
 
 
-def _fill_worker(path: str, capacity: int, slack: float, with_ids: bool, end_id: int) -> Callable:
+def _fill_worker(path: str, capacity: int, slack: float, with_ids: bool, end_id: int, special_as_text: bool) -> Callable:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, filler, out, number, item = encoder(path), HarmonicFiller(capacity), [], 0, 0
+        enc, filler, out, number, item = encoder(path, special_as_text), HarmonicFiller(capacity), [], 0, 0
         worker = 0
         for batch in batches:
             ids, texts, workers = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
@@ -239,17 +246,18 @@ def _cut(row: list, at: int, with_ids: bool) -> tuple[list, list]:
     return a, b
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = 0.03, fan_in: int = 64, with_ids: bool = True, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, slack: float = 0.03, fan_in: int = 64, with_ids: bool = True, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Null texts are empty; every document ends with ``end_id``, so an empty one is a piece of one id. Null identifiers stay null. Repeated rows
     are packed as often as they occur. Texts of any length are cut. Other columns are ignored. An empty table gives an empty result.
-    ``with_ids=False`` leaves the ids of full bins out (the column is null).
+    ``with_ids=False`` leaves the ids of full bins out (the column is null). A special token's string in a text gives that token's id, as in the library's
+    default; with ``special_as_text`` it is tokenised like any other text.
     """
     if fan_in != 64:
         raise ValueError("groups are of 64 workers at each level")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("worker"))
-    first = durable(rows.mapInArrow(_keep_rest_ids(tokenizer_path, capacity, slack, with_ids, end_id), PIECE_SCHEMA))
+    first = durable(rows.mapInArrow(_keep_rest_ids(tokenizer_path, capacity, slack, with_ids, end_id, special_as_text), PIECE_SCHEMA))
     done = [first.filter("sequence_id is not null")]
     rest = first.filter("sequence_id is null")
     workers, level = (first.agg(F.max("worker")).first()[0] or 0) + 1, 1
@@ -268,9 +276,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return out.drop("worker", "item")
 
 
-def _keep_rest_ids(path: str, capacity: int, slack: float, with_ids: bool, end_id: int) -> Callable:
+def _keep_rest_ids(path: str, capacity: int, slack: float, with_ids: bool, end_id: int, special_as_text: bool) -> Callable:
     """Leftovers keep their ids, which the last level may have to cut; full bins keep them on request."""
-    fill = _fill_worker(path, capacity, slack, True, end_id)
+    fill = _fill_worker(path, capacity, slack, True, end_id, special_as_text)
     if with_ids:
         return fill
 

@@ -155,7 +155,6 @@ def test_packing_is_exact(spark, docs, empty):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for d, with_ids in ((docs, True), (docs, False), (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), False)):
         rows = packing.pack_documents(d, path, with_ids=with_ids).collect()
         want = defaultdict(int)
@@ -186,11 +185,13 @@ def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["It's I'LL 'tis a\tb\x0bc\rd  e", "Ünïcode ŒUVRE straße ΑΣ İstanbul é  x\x85y ½²١", "<|endoftext|> a<|startoftext|>b", "😀👍🏽 a​b Ǆ ǅ ﬁ", "\x1c\x1d a\x1fb", "3.14,15-92", LONG[:2000], ""]
-    for t, raw in zip(texts, packing.CachedEncoder(path).encode_batch(texts)):
-        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b <|EndOfText|> <|endof text|>\n<|startoftext|>it's", "It's I'LL 'tis a\tb\x0bc\rd  e", "Ünïcode ŒUVRE straße ΑΣ İstanbul é  x\x85y ½²١", "<|endoftext|> a<|startoftext|>b", "😀👍🏽 a​b Ǆ ǅ ﬁ", "\x1c\x1d a\x1fb", "3.14,15-92", LONG[:2000], ""]
+    for as_text in (False, True):
+        tok = Tokenizer.from_file(path)
+        if as_text:
+            tok.encode_special_tokens = True
+        for t, raw in zip(texts, packing.CachedEncoder(path, special_as_text=as_text).encode_batch(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
 def test_token_counts_against_plain_dynamic_programming(docs, empty):
