@@ -93,12 +93,14 @@ def span_list(spans: list[tuple[int, int, int]]) -> str:
 
 # ---- the network
 
-WINDOW, OVERLAP, HIDDEN, EMBED, CHARS = 240, 48, 24, 12, 160
+WINDOW, OVERLAP, HIDDEN, EMBED, CHARS = 480, 48, 16, 12, 160
 TAGS = 1 + 2 * len(KINDS)
 CONFIDENCE = 0.8
 #: Windows run at once, characters whose emissions are held at once, and positions decoded at once.
-_WINDOWS, _HELD, _DECODED = 1024, 1 << 19, 1 << 17
+_WINDOWS, _HELD, _DECODED = 2048, 1 << 20, 1 << 18
 _NEVER = np.float32(-1e4)
+#: Characters of the texts that a task works on together.
+_TOGETHER = 1 << 21
 
 
 def codes(text: str) -> np.ndarray:
@@ -109,6 +111,15 @@ def codes(text: str) -> np.ndarray:
     return np.where(c < 127, c + 1, np.where(c < 0x2000, 129, 130)).astype(np.uint8)
 
 
+def margins(e: np.ndarray) -> np.ndarray:
+    """By position the best emission of a tag that begins a span, and of any but outside, each less that of outside."""
+    out = np.stack([e[:, 1], e[:, 2]])
+    for k in range(3, TAGS):
+        np.maximum(out[(k + 1) % 2], e[:, k], out=out[(k + 1) % 2])
+    np.maximum(out[1], out[0], out=out[1])
+    return out - e[:, 0]
+
+
 class Tagger:
     """Emissions from a bidirectional LSTM, transitions of a CRF. Tag 0 is outside, 1 + 2k begins kind k and 2 + 2k continues it; the tags before and
     after a text are outside. Both directions run side by side, the backward one over the reversed window (axis 0 of ``wx``, ``wh`` and ``b``)."""
@@ -136,30 +147,38 @@ class Tagger:
         w[..., : 3 * HIDDEN] *= 0.5
         return w
 
-    def window_emissions(self, c: np.ndarray) -> np.ndarray:
-        """Emissions (length x windows x tags) of windows given as columns of symbols (length x windows)."""
+    def window_emissions(self, c: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Emissions (length x windows x tags) of windows given as columns of symbols (length x windows). Windows may end early: ``lengths`` then falls, and what lies
+        beyond a window's end isn't run."""
         h, (length, n) = HIDDEN, c.shape
-        table, wh = (np.einsum("ce,deg->dcg", self.p["emb"], self._halved("wx")) + self._halved("b")[:, None, :]).astype(np.float32), self._halved("wh")
-        out = np.empty((length, n, TAGS), np.float32)
-        z, gates = np.empty((n, 4 * h), np.float32), np.empty((n, 3 * h), np.float32)
+        live = np.full(length, n) if lengths is None else n - np.searchsorted(lengths[::-1], np.arange(length), side="right")
+        # By direction and gate, so that each step works on whole arrays.
+        table = (np.einsum("ce,deg->dcg", self.p["emb"], self._halved("wx")) + self._halved("b")[:, None, :]).astype(np.float32)
+        table, wh = (np.ascontiguousarray(w.reshape(2, -1, 4, h).transpose(0, 2, 1, 3)) for w in (table, self._halved("wh")))
+        out = np.zeros((length, n, TAGS), np.float32)
+        z_, fed_, tc_, hs_, cell_ = np.empty(4 * n * h, np.float32), np.empty(4 * n * h, np.float32), *(np.empty((n, h), np.float32) for _ in range(3))
         for d in (0, 1):
-            hs, cell, tc = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, h), np.float32)
-            part, fed = self.p["out"][d * h : (d + 1) * h], np.empty((n, 4 * h), np.float32)
+            hs_[:], cell_[:] = 0, 0
+            part = self.p["out"][d * h : (d + 1) * h]
             for t in range(length) if d == 0 else range(length - 1, -1, -1):
-                np.take(table[d], c[t], axis=0, out=z, mode="clip")
+                k = live[t]
+                z, fed, hs, tc, cell = z_[: 4 * k * h].reshape(4, k, h), fed_[: 4 * k * h].reshape(4, k, h), hs_[:k], tc_[:k], cell_[:k]
+                np.take(table[d], c[t, :k], axis=1, out=z, mode="clip")
                 np.matmul(hs, wh[d], out=fed)
                 z += fed
                 np.tanh(z, out=z)
-                np.multiply(z[:, : 3 * h], 0.5, out=gates)
+                gates = z[:3]
+                gates *= 0.5
                 gates += 0.5
-                cell *= gates[:, h : 2 * h]
-                cell += gates[:, :h] * z[:, 3 * h :]
+                cell *= gates[1]
+                np.multiply(gates[0], z[3], out=tc)
+                cell += tc
                 np.tanh(cell, out=tc)
-                np.multiply(tc, gates[:, 2 * h :], out=hs)
+                np.multiply(tc, gates[2], out=hs)
                 if d == 0:
-                    np.matmul(hs, part, out=out[t])
+                    np.matmul(hs, part, out=out[t, :k])
                 else:
-                    out[t] += hs @ part
+                    out[t, :k] += hs @ part
         out += self.p["ob"]
         return out
 
@@ -266,65 +285,69 @@ class Tagger:
 
     def emissions(self, parts: list[tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
         """Emissions of the ranges [lo, hi) of texts (given as symbols). A text's windows begin every ``WINDOW - OVERLAP`` characters from its start, the last one
-        ends with it (padded to a multiple of 48); a position that two windows cover gets their mean. So they depend on the text alone, not on the range or on other texts."""
+        ends with it; a position that two windows cover gets their mean. So they depend on the text alone, not on the range or on other texts."""
         step = WINDOW - OVERLAP
-        todo: dict[int, list] = {}
-        out, covers = [], []
+        todo, out, covers = [], [], []
         for i, (c, lo, hi) in enumerate(parts):
             out.append(np.zeros((hi - lo, TAGS), np.float32))
             covers.append(np.zeros(hi - lo, np.float32))
             windows = max(1, -(-(len(c) - OVERLAP) // step))
             for w in range(max(0, -(-(lo - WINDOW + 1) // step)), min(windows, -(-hi // step))):
-                real = min(WINDOW, len(c) - w * step)
-                todo.setdefault(-(-real // 48) * 48, []).append((i, w * step, real))
-        for length, windows in todo.items():
-            for at in range(0, len(windows), _WINDOWS):
-                some = windows[at : at + _WINDOWS]
-                m = np.zeros((len(some), length), np.uint8)
-                for row, (i, s, real) in zip(m, some):
-                    row[:real] = parts[i][0][s : s + real]
-                em = self.window_emissions(np.ascontiguousarray(m.T)).transpose(1, 0, 2)
-                for e, (i, s, real) in zip(em, some):
-                    _, lo, hi = parts[i]
-                    a, b = max(lo, s), min(hi, s + real)
-                    out[i][a - lo : b - lo] += e[a - s : b - s]
-                    covers[i][a - lo : b - lo] += 1
+                todo.append((min(WINDOW, len(c) - w * step), i, w * step))
+        todo.sort(key=lambda w: -w[0])
+        for at in range(0, len(todo), _WINDOWS):
+            some = todo[at : at + _WINDOWS]
+            m = np.zeros((len(some), some[0][0]), np.uint8)
+            for row, (real, i, s) in zip(m, some):
+                row[:real] = parts[i][0][s : s + real]
+            em = self.window_emissions(np.ascontiguousarray(m.T), np.array([w[0] for w in some])).transpose(1, 0, 2)
+            for e, (real, i, s) in zip(em, some):
+                _, lo, hi = parts[i]
+                a, b = max(lo, s), min(hi, s + real)
+                out[i][a - lo : b - lo] += e[a - s : b - s]
+                covers[i][a - lo : b - lo] += 1
         for o, n in zip(out, covers):
             twice = n > 1
             o[twice] /= n[twice, None]
         return out
 
     def candidates(self, margin: np.ndarray) -> list[tuple[int, int]]:
-        """Stretches outside of which the best path of a text is surely outside; ``margin`` is the best other emission less that of outside, by position.
+        """Stretches outside of which the best path of a text is surely outside, from ``margins`` (2 x positions).
 
         A path with the other tags on [a, b) beats the one with outside there only if the sum over [a, b) of margin + within, plus ``ends``, isn't negative,
-        where ``within`` and ``ends`` bound what transitions can add. A position stays if some such stretch holds it: if the highest later
-        prefix sum less the lowest earlier one reaches -ends.
+        where ``within`` and ``ends`` bound what transitions can add, and the margin at a is that of the tags that begin a span. A position stays if some such
+        stretch holds it: if the highest later prefix sum less the lowest earlier one reaches -ends.
         """
         tr = self.trans.astype(np.float64)
         within = tr[1:, 1:].max() - tr[0, 0]
         ends = (tr[0, 1:].max() - tr[0, 0]) + (tr[1:, 0].max() - tr[0, 0]) - within
-        total = np.concatenate([[0.0], np.cumsum(margin.astype(np.float64) + within)])
-        low, high = np.minimum.accumulate(total[:-1]), np.maximum.accumulate(total[:0:-1])[::-1]
-        live = np.flatnonzero(np.diff(np.concatenate([[False], high - low + ends >= -1e-3, [False]]).astype(np.int8)))
+        begin, other = margin
+        total = np.cumsum(other + within, dtype=np.float64)
+        low, high = np.minimum.accumulate(total - begin - within), np.maximum.accumulate(total[::-1])[::-1]
+        live = np.flatnonzero(np.diff(np.concatenate([[False], high - low + ends >= -1e-2, [False]]).astype(np.int8)))
         return list(zip(live[::2].tolist(), live[1::2].tolist()))
 
-    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags of stretches (stretches x length x tags) that are preceded and followed by outside, and the marginal probability of each."""
+    def decode(self, e: np.ndarray) -> np.ndarray:
+        """Best tags of stretches (stretches x length x tags) that are preceded and followed by outside."""
         n, length, _ = e.shape
-        tr = self.trans
+        tr, rows = self.trans, np.arange(n)
         score, back = tr[0] + e[:, 0], np.empty((length, n, TAGS), np.uint8)
+        into, cells = np.ascontiguousarray(tr.T), np.arange(n * TAGS)  # the tag before in the last place
         for t in range(1, length):
-            m = score[:, :, None] + tr
+            m = (score[:, None, :] + into).reshape(-1, TAGS)
             best = m.argmax(axis=1)
-            back[t] = best
-            score = np.take_along_axis(m, best[:, None], axis=1)[:, 0] + e[:, t]
+            back[t] = best.reshape(n, TAGS)
+            score = m[cells, best].reshape(n, TAGS) + e[:, t]
         tags = np.empty((n, length), np.uint8)
         tags[:, -1] = (score + tr[:, 0]).argmax(axis=1)
-        rows = np.arange(n)
         for t in range(length - 1, 0, -1):
             tags[:, t - 1] = back[t, rows, tags[:, t]]
-        a, s = np.exp(tr), np.exp(e - e.max(axis=2, keepdims=True))
+        return tags
+
+    def marginals(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Probability of each of the given tags, by the forward and backward passes (in probabilities, scaled at each position)."""
+        n, length, _ = e.shape
+        a, s, rows = np.exp(self.trans), np.exp(e - e.max(axis=2, keepdims=True)), np.arange(n)
         forward, sure = np.empty((length, n, TAGS), np.float32), np.empty((n, length), np.float32)
         x = a[0] * s[:, 0]
         forward[0] = x / x.sum(axis=1, keepdims=True)
@@ -337,29 +360,29 @@ class Tagger:
             sure[:, t] = x[rows, tags[:, t]] / x.sum(axis=1)
             b = (s[:, t] * b) @ a.T
             b = b / b.max(axis=1, keepdims=True)
-        return tags, sure
+        return sure
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each text the decoded stretches (start, tags, marginals); all else is outside. Every character of every text runs through the network."""
+        """For each text the decoded stretches (start, tags, their marginals where a stretch has a span); all else is outside. Every character of every text runs through the network."""
         symbols = [codes(t) for t in texts]
         ranges = [(d, lo, min(len(c), lo + _HELD)) for d, c in enumerate(symbols) for lo in range(0, len(c), _HELD)]
         out: list[list] = [[] for _ in texts]
         held: list[tuple[int, int, np.ndarray]] = []  # text, start, emissions of a stretch
-        margins: dict[int, list] = {}
+        long: dict[int, list] = {}
         at = 0
         while at < len(ranges):
             stop, size = at, 0
             while stop < len(ranges) and (stop == at or size + ranges[stop][2] - ranges[stop][1] <= _HELD):
                 size, stop = size + ranges[stop][2] - ranges[stop][1], stop + 1
             for (d, lo, hi), e in zip(ranges[at:stop], self.emissions([(symbols[d], lo, hi) for d, lo, hi in ranges[at:stop]])):
-                margin = e[:, 1:].max(axis=1) - e[:, 0]
+                margin = margins(e)
                 if len(symbols[d]) <= _HELD:
                     held += [(d, s, e[s:x].copy()) for s, x in self.candidates(margin)]
                     continue
                 # A text of more than one range: only its margins are kept, the emissions of its stretches are computed again.
-                margins.setdefault(d, []).append(margin)
+                long.setdefault(d, []).append(margin)
                 if hi == len(symbols[d]):
-                    for s, x in self.candidates(np.concatenate(margins.pop(d))):
+                    for s, x in self.candidates(np.concatenate(long.pop(d), axis=1)):
                         self._decode([(d, s, np.concatenate([self.emissions([(symbols[d], p, min(x, p + _HELD))])[0] for p in range(s, x, _HELD)]))], out)
             at = stop
         self._decode(held, out)
@@ -377,8 +400,13 @@ class Tagger:
             e[:, :, 0] = 0
             for row, (_, _, x) in zip(e, held[at:stop]):
                 row[: len(x)] = x
-            for (d, s, x), tags, sure in zip(held[at:stop], *self.decode(e)):
-                out[d].append((s, tags[: len(x)], sure[: len(x)]))
+            tags = self.decode(e)
+            sure, some = np.ones(tags.shape, np.float32), np.flatnonzero(tags.any(axis=1))  # elsewhere there is no span to be sure of
+            if len(some):
+                end = max(len(held[at + i][2]) for i in some)
+                sure[some, :end] = self.marginals(e[some, :end], tags[some, :end])
+            for (d, s, x), y, z in zip(held[at:stop], tags, sure):
+                out[d].append((s, y[: len(x)], z[: len(x)]))
             at = stop
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
@@ -515,8 +543,13 @@ def detect_pii(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(lo, 256), b.column(1).slice(lo, 256).to_pylist()
+            lo = 0
+            while lo < b.num_rows:
+                texts, size = [], 0
+                while lo + len(texts) < b.num_rows and (not texts or size < _TOGETHER):
+                    texts.append(b.column(1)[lo + len(texts)].as_py())
+                    size += len(texts[-1] or "")
+                ids, lo = b.column(0).slice(lo, len(texts)), lo + len(texts)
                 rows = find_spans(texts, model)
                 cols = [pa.array([[{"kind": KINDS[k], "start": s, "end": e, "text": t[s:e]} for s, k, e in r[i]] for r, t in zip(rows, texts)], span) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "base", "added"])

@@ -42,9 +42,7 @@ def slow_emissions(m, text):
     total, n, s = np.zeros((len(c), pii.TAGS)), np.zeros((len(c), 1)), 0
     while True:
         part = c[s : s + pii.WINDOW]
-        padded = np.zeros(-(-len(part) // 48) * 48, np.uint8)
-        padded[: len(part)] = part
-        total[s : s + len(part)] += slow_lstm(m, padded)[: len(part)]
+        total[s : s + len(part)] += slow_lstm(m, part)
         n[s : s + len(part)] += 1
         if s + pii.WINDOW >= len(c):
             return total / n
@@ -92,14 +90,28 @@ def test_untrained_weights_of_any_size_decode_alike():
         e = r.standard_normal((int(r.integers(1, 120)), pii.TAGS)).astype(np.float32) * 2
         e[:, 0] += r.choice([0, 2, 5, 9])
         got = np.zeros(len(e), int)
-        for s, x in m.candidates(e[:, 1:].max(axis=1) - e[:, 0]):
-            got[s:x] = m.decode(e[None, s:x])[0][0]
+        for s, x in m.candidates(pii.margins(e)):
+            got[s:x] = m.decode(e[None, s:x])[0]
         assert (got == slow_path(m, e.astype(float))).all()
 
 
+def test_marginals_equal_enumeration():
+    r = np.random.default_rng(1)
+    m = pii.Tagger()
+    m.p["trans"] = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    e = r.standard_normal((1, 4, pii.TAGS)).astype(np.float32)
+    paths = np.stack(np.meshgrid(*[np.arange(pii.TAGS)] * 4, indexing="ij"), axis=-1).reshape(-1, 4)
+    whole = np.concatenate([np.zeros((len(paths), 1), int), paths, np.zeros((len(paths), 1), int)], axis=1)
+    w = np.exp(sum(e[0, t, paths[:, t]] for t in range(4)).astype(float) + sum(m.trans[whole[:, t], whole[:, t + 1]] for t in range(5)))
+    tags = m.decode(e)
+    assert (paths[w.argmax()] == tags[0]).all()
+    want = [w[paths[:, t] == tags[0, t]].sum() / w.sum() for t in range(4)]
+    assert np.allclose(m.marginals(e, tags)[0], want, atol=1e-4)
+
+
 def test_every_character_is_read(model, monkeypatch):
     seen, plain = [], pii.Tagger.window_emissions
-    monkeypatch.setattr(pii.Tagger, "window_emissions", lambda self, c: seen.append(int((c > 0).sum())) or plain(self, c))
+    monkeypatch.setattr(pii.Tagger, "window_emissions", lambda self, c, n=None: seen.append(int((c > 0).sum())) or plain(self, c, n))
     model.tag(["no at sign and no digits, only words " * 50])
     assert sum(seen) >= 37 * 50
 
@@ -138,5 +150,5 @@ def test_training_finds_spans_that_no_base_pattern_has():
         assert not base and [pii.KINDS[k] for _, k, _ in added] == [kind], text
     # Held-out samples: nearly all characters, and nearly all of those in a span, get their tag.
     c, y = pii.labelled_samples(300, seed=99)
-    tags, _ = m.decode(m.window_emissions(np.ascontiguousarray(c.T)).transpose(1, 0, 2))
+    tags = m.decode(m.window_emissions(np.ascontiguousarray(c.T)).transpose(1, 0, 2))
     assert (tags == y).mean() > 0.98 and (tags == y)[y > 0].mean() > 0.95
