@@ -85,34 +85,6 @@ def test_near_duplicates_against_brute_force(docs, empty):
     assert {r.doc_id for r in out.collect()} == {i for i in sets if root[i] == i} | {None}
 
 
-def test_bucket_runs_and_pairs():
-    keys = np.sort(np.r_[np.zeros(300, np.uint64), np.random.default_rng(0).integers(0, 2**50, 500).astype(np.uint64)])
-    cut = simhash.runs(keys, cap=64)
-    assert cut[0][0] == 0 and cut[-1][1] == len(keys) and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
-    assert all(j - i <= 64 or len(set(keys[i:j].tolist())) == 1 for i, j in cut)
-    fp = np.random.default_rng(1).integers(0, 2**63, (40, 4)).astype(np.uint64)
-    fp[7] = fp[3] ^ np.uint64(5)
-    pairs = [(int(a), int(b)) for x, y in simhash.near_pairs(fp, 20, block=16) for a, b in zip(x, y)]
-    assert pairs == [(3, 7)]
-
-
-def test_streamed_buckets_find_every_pair(monkeypatch):
-    """Buckets that arrive in pieces, with a small hold, give the pairs of one big comparison."""
-    import pyarrow as pa
-
-    r = np.random.default_rng(5)
-    base = r.integers(0, 2**63, (30, 4)).astype(np.uint64)
-    fp = np.repeat(base, 3, axis=0)
-    fp[:, 1] ^= np.tile(np.array([0, 1, 6], np.uint64), 30)
-    ids, tbl, bucket = np.arange(90), np.zeros(90, np.int32), (np.arange(90) // 30).astype(np.int32)
-    keys = np.sort(r.integers(0, 2**40, 90).astype(np.uint64))
-    monkeypatch.setattr(simhash, "_HELD", 1000)
-    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i : i + 7]), pa.array([x.tobytes() for x in fp[i : i + 7]]), pa.array(tbl[i : i + 7]), pa.array(keys[i : i + 7].view(np.int64)), pa.array(bucket[i : i + 7])], names=["rep", "fp", "tbl", "key", "bucket"]) for i in range(0, 90, 7)]
-    got = {(a, b) for out in simhash._bucket_pairs(10, cap=64)(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
-    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if bucket[i] == bucket[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 10}
-    assert got == want and len(want) == 90
-
-
 def test_language_id(spark, docs, empty):
     out = {(r.doc_id, r.lang_pred, r.held_out) for r in langid.identify(docs).collect()}
     by = defaultdict(set)
