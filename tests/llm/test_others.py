@@ -45,6 +45,33 @@ def test_embedding_links_against_brute_force(spark, block):
             assert (g.n_links, g.component_id, g.kept) == (0, g.vec_id, True)
 
 
+def test_vectors_of_every_dimension_link(spark):
+    """Three dimensions, the vectors of the rarest among them, as 4-byte and as 8-byte floats; small blocks and intervals, so that sequences are cut."""
+    r = np.random.default_rng(8)
+    vectors = [v for d, n in ((2, 3), (3, 90), (40, 60)) for c in range(n) for v in [r.standard_normal(d)] for v in (v, v + 0.05 * r.standard_normal(d), 1e-200 * v)]
+    vectors += [np.array([1.0, 0.0]), np.array([1.0, 0.01]), np.array([5.0]), np.array([0.25]), np.array([-1.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    unit = [v / np.abs(v).max() for v in vectors]
+    unit = [v / np.linalg.norm(v) for v in unit]
+    a, b = np.array([(i, j) for i, x in enumerate(unit) for j, y in enumerate(unit) if i != j and len(x) == len(y) and x @ y >= 0.95]).T
+    links, root = np.bincount(a, minlength=len(rows)), embed_dedup.roots(a, b, len(rows))
+    for options in ({}, {"block": 8, "interval": 32, "axes": 2}, {"sample": 3, "block": 5, "interval": 64}):
+        out = embed_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), **options).collect()
+        assert {(g.vec_id, g.n_links, g.component_id) for g in out} == {(i, links[i], root[i]) for i in range(len(rows))}
+    assert links[len(rows) - 4] >= 1
+
+
+def test_ranges_hold_every_near_pair_of_boxes():
+    r = np.random.default_rng(0)
+    x = np.sort(r.random((200, 1)) * 30, axis=0)
+    lo, hi = x[::4], x[3::4]
+    near = {(i, j) for i in range(50) for j in range(i, 50) if max(0, lo[j, 0] - hi[i, 0], lo[i, 0] - hi[j, 0]) ** 2 <= 0.3}
+    got = [(i, j) for i0, i1, j0, j1 in embed_dedup.near_ranges((lo, hi), None, 0.3, leaf=2) for i in range(i0, i1) for j in range(j0, j1) if i <= j]
+    assert near <= set(got) and len(got) == len(set(got)) < 50 * 51 / 4
+    got = [(i, j) for i0, i1, j0, j1 in embed_dedup.near_ranges((lo[:20], hi[:20]), (lo[20:], hi[20:]), 0.3) for i in range(i0, i1) for j in range(j0, j1)]
+    assert {(i, j - 20) for i, j in near if i < 20 <= j} <= set(got)
+
+
 def test_embedding_links_of_nothing(spark):
     assert embed_dedup.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert embed_dedup.embedding_links(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).collect()[0].component_id == 1
