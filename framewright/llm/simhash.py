@@ -442,12 +442,12 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.hashes(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["rep", "shingles"])
 
 
-def _verified(rows: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the candidates whose shingle sets are similar enough. Both joins are salted: a row with very many partners is in no single task."""
-    needed = candidates.select(F.col("a").alias("rep")).unionByName(candidates.select(F.col("b").alias("rep"))).distinct()
-    sets = durable(rows.join(needed, rows.doc_id == needed.rep, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "rep long, shingles binary"))
-    left, right = (sets.select(F.col("rep").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    met = salted_left_join(salted_left_join(candidates, left, "a", "b"), right, "b", "a").filter("sa is not null and sb is not null")
+def _verified(sets: DataFrame, candidates: DataFrame, threshold: float, hub: int = 1024) -> DataFrame:
+    """(a, b, jaccard) of the candidates whose shingle sets are similar enough. A row with very many partners is salted: each ``hub`` of them have its set in a place of their own."""
+    per = candidates.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / hub).alias("parts"))
+    salted = durable(candidates.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")))
+    left = salted.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
+    met = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "salt"])
     return durable(met.select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a long, b long, jaccard double"))
 
 
@@ -521,12 +521,11 @@ def _verify_block(threshold: float) -> Callable:
     return run
 
 
-def _verified_dense(rows: DataFrame, active: DataFrame, edges: DataFrame, threshold: float, block: int = 512) -> DataFrame:
+def _verified_dense(sets: DataFrame, active: DataFrame, edges: DataFrame, threshold: float, block: int = 512) -> DataFrame:
     """(a, b, jaccard): links that connect the rows of dense clusters. A cluster's rows, however many, are compared in pairs of blocks of about ``block`` sets, so neither
     its pairs nor its whole content are ever in one place."""
     clusters = durable(connected_components(edges).withColumnRenamed("component", "cluster"))
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    sets = rows.join(clusters, rows.doc_id == clusters.node, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "rep long, shingles binary")
     placed = salted_left_join(clusters, blocks, "cluster", "node").join(active.select("rep", "comp"), F.col("node") == F.col("rep")).drop("node")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(sets, "rep")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "own", "shingles")
@@ -559,20 +558,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, limit = reps.count(), max_distance(threshold)
     tables, base = plan_tables(n, threshold)
     order = sampled_order(tables)
-    # First pass: two partners a row at most, which connect dense groups and name every row that has a partner.
+    # First pass: two partners a row and table at most, which name every row that has a partner. One partner of each row is verified and connects dense groups.
     tabled = reps.select("rep", "fp").mapInArrow(_first_tables(order, base, oversized(reps, n, order, base, held), held), "rep long, fp binary, grp long, capped boolean")
     first = durable(tabled.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_first_pairs(limit, held), "a long, b long").distinct())
-    links = _verified(rows, first.filter("a <> b"), threshold)
+    partners = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
+    # The texts are read again for the rows that have partners, once for all that follows.
+    sets = durable(rows.join(partners, rows.doc_id == partners.i, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "rep long, shingles binary"))
+    tested = durable(first.filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _verified(sets, tested, threshold)
     comps = connected_components(links.select("a", "b"))
     # Second pass: all pairs of those rows that aren't connected yet, whole buckets.
-    partners = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
     active = durable(reps.join(partners, reps.rep == partners.i, "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("component", "rep").alias("comp")))
     large = _largest_components(active, order, base, oversized(active, active.count(), order, base, held), held)
     tabled = active.mapInArrow(_second_tables(order, base, large), "rep long, fp binary, comp long, grp long, side long")
     second = durable(tabled.repartition("grp").sortWithinPartitions("grp").mapInArrow(_cross_pairs(limit), "a long, b long, dense boolean").distinct())
-    sparse, dense = durable(second.filter("not dense").select("a", "b").join(first, ["a", "b"], "left_anti")), second.filter("dense").select("a", "b")
-    more = [_verified(rows, sparse, threshold)] if not sparse.isEmpty() else []
-    more += [_verified_dense(rows, active, dense, threshold)] if not dense.isEmpty() else []
+    sparse, dense = durable(second.filter("not dense").select("a", "b").join(tested, ["a", "b"], "left_anti")), second.filter("dense").select("a", "b")
+    more = [_verified(sets, sparse, threshold)] if not sparse.isEmpty() else []
+    more += [_verified_dense(sets, active, dense, threshold)] if not dense.isEmpty() else []
     for found in more:
         links = links.unionByName(found)
     if more:

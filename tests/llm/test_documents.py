@@ -264,31 +264,16 @@ def test_near_duplicates_in_a_large_boilerplate_cluster(spark):
         if k < 5_000:
             rows.append((100_000 + k, f"{shared} {' '.join(own[:-8])} {' '.join(f'w{x}' for x in r.integers(0, 10**9, 8))}"))
     links = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))[1]
-    s, order = simhash.Shingler(), simhash.sampled_order()[:, : simhash.BASE_BITS]
+    s, order = simhash.Shingler(), simhash.sampled_order(simhash.plan_tables(20_000)[0])[:, : simhash.BASE_BITS]
     bits = {k: np.unpackbits(np.frombuffer(simhash.fingerprint(s.hashes(t)), np.uint8)) for k, t in rows if k % 100_000 < 5_000}
     differ = {k: bits[k] != bits[100_000 + k] for k in range(5_000)}
     want = {(k, 100_000 + k) for k, d in differ.items() if d.sum() <= simhash.max_distance() and (~d[order].any(axis=1)).any()}
-    assert len(rows) == 20_000 and {(x.a, x.b) for x in links.collect()} == want
+    # Dense buckets are compared whole, so pairs that share no bucket may be found too.
+    got = {(x.a, x.b) for x in links.collect()}
+    assert len(rows) == 20_000 and want <= got <= {(k, 100_000 + k) for k in range(5_000)}
     assert len(want) / 5_000 > 0.98
 
 
-def test_pairs_of_blocks_are_all_compared():
-    """A bucket split into blocks gives each of its pairs once."""
-    import pyarrow as pa
-
-    r = np.random.default_rng(6)
-    fp = np.repeat(r.integers(0, 2**63, (1, 4)).astype(np.uint64), 300, axis=0)
-    fp[:, 0] ^= np.arange(300, dtype=np.uint64)
-    flat = fp.view(np.uint8).reshape(300, 32)
-    own = simhash._buckets([x.tobytes() for x in flat], simhash.sampled_order())
-    blocks = {(t, int(x)): 5 for t in range(simhash.TABLES) for x in set(own[t].tolist()) if (own[t] == x).sum() > 60}
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), pa.array([x.tobytes() for x in flat])], names=["rep", "fp"])
-    rows = pa.Table.from_batches(simhash._explode_tables(blocks)(iter([batch]))).sort_by([("tbl", "ascending"), ("bucket", "ascending")])
-    got = [p for out in simhash._bucket_pairs(64, cap=16)(iter(rows.to_batches(max_chunksize=70))) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
-    want = [(i, j) for t in range(simhash.TABLES) for i in range(300) for j in range(i + 1, 300) if own[t][i] == own[t][j]]
-    assert blocks and sorted(got) == sorted(want)
-
-
 def test_mixed_documents_counts_rows_with_null_or_repeated_identifiers(spark):
     """Each row comes as often as its own share of the schedule says, whatever others share its identifier."""
     rows = [(None if i % 2 else 7, " ".join(f"{s}{i}x{j}" for j in range(20 + i)), s) for s in "abc" for i in range(20)]
