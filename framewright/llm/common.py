@@ -15,12 +15,18 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 ASCII_WS = str.maketrans({c: " " for c in WS_CHARS})
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``; only where none is named (tests), a fresh local one."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framewright-ckpt-"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Where none is named, a fresh folder of this machine, in local mode only:
+    on a cluster that would scatter the parts over machines, so it is an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="framewright-ckpt-")
+        context.setCheckpointDir(folder)
+    return folder or context.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import share_below
+from .common import fresh, one_blas_thread, share_below
 
 #: Families of ISO 639-1 codes. Languages that aren't listed form a family of their own.
 FAMILIES = {
@@ -46,6 +46,8 @@ UNDETERMINED = "und"
 #: Buckets of single characters, pairs and triples.
 BUCKETS = (1024, 4096, 8192)
 PER_LANG = 400
+#: Scores below which a text counts as not identified, and from which on a prediction replaces a label.
+LEAST, SURE = 0.35, 0.9
 _DIM = sum(BUCKETS)
 _LETTER = regex.compile(r"\p{L}").search
 
@@ -117,7 +119,7 @@ def train_svm(gram: np.ndarray, y: np.ndarray, reg: float = 1e-3, steps: int = 2
 class HierarchicalModel:
     """``classes``: languages in order; ``families``: family names; weights of both levels side by side in one matrix."""
 
-    def __init__(self, texts: list[str], langs: list[str]) -> None:
+    def __init__(self, texts: list[str], langs: list[str], family_rows: int = 4000) -> None:
         self.langs = sorted(set(langs))
         family = {c: FAMILIES.get(c.lower().split("-")[0], "unlisted") for c in self.langs}
         self.families = sorted(set(family.values()))
@@ -125,18 +127,27 @@ class HierarchicalModel:
         self.pairs = [p for m in self.members for p in combinations(m, 2)]
         columns = []
         if texts:
-            x = np.concatenate([featurize(texts[i : i + 64]) for i in range(0, len(texts), 64)])
-            y, gram = np.array([self.langs.index(c) for c in langs]), x @ x.T
+            y = np.array([self.langs.index(c) for c in langs])
 
-            def fit(rows: np.ndarray, positive: np.ndarray) -> None:
-                a, bias = train_svm(gram[np.ix_(rows, rows)], np.where(positive[rows], 1, -1).astype(np.float32))
-                columns.append(np.append(a @ x[rows], np.float32(bias)))
+            def features(rows: np.ndarray) -> np.ndarray:
+                return np.concatenate([featurize([texts[i] for i in rows[at : at + 64]]) for at in range(0, len(rows), 64)])
 
+            def fit(x: np.ndarray, gram: np.ndarray, positive: np.ndarray) -> None:
+                a, bias = train_svm(gram, np.where(positive, 1, -1).astype(np.float32))
+                columns.append(np.append(a @ x, np.float32(bias)))
+
+            # No more than ``family_rows`` rows are in one matrix: the families learn from an even share of each language, a pair from its own rows.
             if len(self.families) > 1:
+                share = max(1, family_rows // len(self.langs))
+                rows = np.concatenate([np.flatnonzero(y == c)[:share] for c in range(len(self.langs))])
+                x = features(rows)
+                gram = x @ x.T
                 for m in self.members:
-                    fit(np.arange(len(y)), np.isin(y, m))
+                    fit(x, gram, np.isin(y[rows], m))
             for a, b in self.pairs:
-                fit(np.flatnonzero((y == a) | (y == b)), y == a)
+                rows = np.flatnonzero((y == a) | (y == b))
+                x = features(rows)
+                fit(x, x @ x.T, y[rows] == a)
         self.w = np.stack(columns, axis=1) if columns else np.zeros((_DIM + 1, 0), dtype=np.float32)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -175,13 +186,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     doc, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     rows = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.xxhash64(doc).alias("h"))
-    # One row for each language: the classes that the model has anyway.
+    # One row for each language; the join is Spark's to plan, as the number of labels isn't bounded.
     sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(F.broadcast(sizes), "l").filter(share_below(F.col("h"), F.lit(1.5 * per_lang) / F.col("n")))
+    rows = rows.join(sizes, "l").filter(share_below(F.col("h"), F.lit(1.5 * per_lang) / F.col("n")))
     first = Window.partitionBy("l").orderBy("h", "i")
     ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("i").distinct()
     picked = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.col(f"`{text_col}`").alias("t"))
-    sample = picked.join(F.broadcast(ids), "i", "left_semi").toPandas().sort_values(["l", "i", "t"])
+    sample = picked.join(ids, "i", "left_semi").toPandas().sort_values(["l", "i", "t"])
     sample = sample[np.array([has_letter(t) for t in sample["t"]], dtype=bool)]
     return HierarchicalModel(sample["t"].tolist(), sample["l"].tolist())
 
@@ -191,6 +202,7 @@ def predict_column(model: HierarchicalModel, text: Column) -> Column:
 
     @F.pandas_udf("struct<lang: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        one_blas_thread()
         for texts in batches:
             lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -215,15 +227,20 @@ def identify(docs: DataFrame, model: HierarchicalModel | None = None, id_col: st
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that have a language, columns unchanged; ``und`` rows go.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, in the same columns; ``lang_col`` has the predicted language where it was null, and where a prediction
+    with a score of at least ``sure`` contradicts it.
 
-    Where no labelled row can be learnt from, nothing can be identified: rows with a letter stay and only null and letterless texts go.
+    Null and letterless texts go, and so do texts with a score below ``least``, which neither a family nor a language in it stands out for.
+    Where no labelled row can be learnt from, nothing can be identified: rows with a letter stay as they are.
     """
-    model, text = train(docs, id_col, text_col, lang_col), F.col(f"`{text_col}`")
+    model, text, lang = train(docs, id_col, text_col, lang_col), F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
     if not model.langs:
         return docs.filter(_letter_column(text))
-    return docs.filter(predict_column(model, text)["lang"] != UNDETERMINED)
+    (p,) = fresh(docs, "identified")
+    known = docs.withColumn(p, predict_column(model, text)).filter((F.col(p)["lang"] != UNDETERMINED) & (F.col(p)["score"] >= least))
+    label = F.when(lang.isNull() | (F.col(p)["score"] >= sure), F.col(p)["lang"]).otherwise(lang).cast(docs.schema[lang_col].dataType)
+    return known.select(*[label.alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _letter_column(text: Column) -> Column:

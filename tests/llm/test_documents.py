@@ -96,7 +96,67 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty).count() == 0
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in edge_rows() if langid.has_letter(r[1])}
+    scores = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, (lang, score) in scores.items() if lang != "und" and score >= langid.LEAST}
+
+
+def test_identified_languages_are_filled_in_and_corrected(spark):
+    """Labels that are missing or plainly wrong become the predicted ones, doubtful predictions change nothing, undecided texts go; all else stays."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spoilt = d.withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 50 == 1, F.lit("es")).otherwise(F.col("lang")))
+    spoilt = spoilt.unionByName(spark.createDataFrame([(-1, "12 -- 34", None, None, 8)], d.schema))
+    out = {r.doc_id: r.lang for r in langid.keep_identified(spoilt).collect()}
+    true = {r.doc_id: r.lang for r in d.collect()}
+    assert set(out) == set(true)
+    assert np.mean([out[i] == true[i] for i in true if i % 7 == 0]) > 0.95 and np.mean([out[i] == true[i] for i in true]) > 0.97
+    none = langid.keep_identified(spoilt, least=1.1)
+    assert none.count() == 0
+
+
+def slow_features(text):
+    """Character n-grams of the lowered text, letters alone, everything else one zero."""
+    c = [ord(x) if ord(x) >= 0x3000 or x.isalpha() else 0 for x in text.lower()]
+    c = [0] + [x for i, x in enumerate(c) if x or i == 0 or c[i - 1]] + [0]
+    out, at = np.zeros(sum(langid.BUCKETS)), 0
+    for n, m in enumerate(langid.BUCKETS):
+        count = Counter()
+        for i in range(len(c) - n):
+            h = c[i]
+            for k in range(1, n + 1):
+                h = (h * 0x9E3779B1 + c[i + k]) % 2**64
+            h = ((h ^ (h >> 15)) * 0x85EBCA6B) % 2**64
+            count[(h ^ (h >> 13)) % m] += 1
+        for b, k in count.items():
+            out[at + b] = (k / sum(count.values())) ** 0.5
+        at += m
+    return out
+
+
+def test_language_votes_against_a_slow_version(spark):
+    """Family by the best of its machines, then every pair inside it votes; with codes that no family lists."""
+    r = np.random.default_rng(2)
+    alphabet = {"en": "abcde", "de": "cdefg", "fr": "klmno", "es": "mnopq", "xx": "uvwxy", "yy": "wxyzu", "zz": "hijab"}
+    make = lambda c: " ".join("".join(r.choice(list(alphabet[c]), 4)) for _ in range(30))
+    langs = [c for c in alphabet for _ in range(12)]
+    model = langid.HierarchicalModel([make(c) for c in langs], langs)
+    assert len(model.pairs) == 5 and "unlisted" in model.families
+    texts = [make(c) for c in langs] + ["abc uvw klm", "é ab\u4e2d\u6587 x", "a"]
+    got, score = model.predict(texts)
+    for k, t in enumerate(texts):
+        margin = slow_features(t) @ model.w[:-1] + model.w[-1]
+        n = len(model.families)
+        e = np.exp(4 * (margin[:n] - margin[:n].max()))
+        f = int(e.argmax())
+        votes = {i: 0.0 for i in model.members[f]}
+        for (a, b), m in zip(model.pairs, margin[n:]):
+            if a in votes:
+                p = 1 / (1 + np.exp(-4 * np.clip(m, -20, 20)))
+                votes[a] += p
+                votes[b] += 1 - p
+        best = max(votes, key=votes.get)
+        share = votes[best] / (len(votes) - 1) if len(votes) > 1 else 1.0
+        assert got[k] == model.langs[best] and abs(score[k] - e[f] / e.sum() * share) < 1e-4
+    assert np.mean([a == b for a, b in zip(got, langs)]) > 0.9
 
 
 def test_language_id_accuracy(spark):
