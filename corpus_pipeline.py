@@ -20,7 +20,7 @@ from framewright.llm.simhash import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language; those without a letter go."""
+    """Documents whose language is identified, with that language where they had none or a contradicted one; the others go."""
     return keep_identified(docs)
 
 
@@ -51,11 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. A stage's folder is removed when the next one is written; the last one's input stays, for the result is read from it."""
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4()}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            gone = jvm.org.apache.hadoop.fs.Path(before)
+            gone.getFileSystem(conf).delete(gone, True)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
