@@ -61,18 +61,28 @@ def merge_back(center: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out / (np.bincount(near, minlength=len(center)) + 1)[:, None]
 
 
-def compress_image(x: np.ndarray, tau: float = 0.95) -> np.ndarray:
-    return merge_back(centers(x, components(adjacency(x, tau))), x)
+def labels(adj: np.ndarray, eps: float | None = None) -> np.ndarray:
+    """Component of each node: exact ones, or those from sampled anchors with ``eps``."""
+    if eps is None:
+        return components(adj)
+    out = np.empty(len(adj), dtype=np.int64)
+    for c, group in enumerate(sampled_components(adj, eps)):
+        out[group] = c
+    return out
 
 
-def compress_video(x: np.ndarray, frames: int, tau: float = 0.95) -> np.ndarray:
+def compress_image(x: np.ndarray, tau: float = 0.95, eps: float | None = None) -> np.ndarray:
+    return merge_back(centers(x, labels(adjacency(x, tau), eps)), x)
+
+
+def compress_video(x: np.ndarray, frames: int, tau: float = 0.95, eps: float | None = None) -> np.ndarray:
     """Centers frame by frame, then their components over time, then all tokens merged back."""
     if frames < 1 or len(x) % frames:
         raise MediaError("the tokens don't divide into frames")
     per = len(x) // frames
     parts = [x[i * per : (i + 1) * per] for i in range(frames)]
-    c = np.concatenate([centers(p, components(adjacency(p, tau))) for p in parts])
-    return merge_back(centers(c, components(adjacency(c, tau))), x)
+    c = np.concatenate([centers(p, labels(adjacency(p, tau), eps)) for p in parts])
+    return merge_back(centers(c, labels(adjacency(c, tau), eps)), x)
 
 
 def to_exact(center: np.ndarray, k: int, tau: float = 0.95) -> np.ndarray:

@@ -19,6 +19,12 @@ def crop(img: np.ndarray, top: int, left: int, height: int, width: int) -> np.nd
     return np.ascontiguousarray(img[top : top + height, left : left + width])
 
 
+def crop_stack(x: np.ndarray, top: int, left: int, height: int, width: int) -> np.ndarray:
+    """``crop`` of a stack N x H x W x C."""
+    crop(x[0], top, left, height, width)  # checks the window
+    return x[:, top : top + height, left : left + width]
+
+
 def _cubic(x: np.ndarray, a: float) -> np.ndarray:
     x = np.abs(x)
     near = ((a + 2) * x - (a + 3)) * x * x + 1
@@ -48,13 +54,18 @@ def _round_clip(x: np.ndarray) -> np.ndarray:
 
 def resize_bicubic(img: np.ndarray, width: int, height: int) -> np.ndarray:
     """Antialiased bicubic of an H x W x C uint8 image; the horizontal pass is rounded to bytes before the vertical one."""
+    return resize_stack(img[None], width, height)[0]
+
+
+def resize_stack(x: np.ndarray, width: int, height: int) -> np.ndarray:
+    """``resize_bicubic`` of a stack N x H x W x C. Weights and sums are integers below 2**53, so products in double precision are exact."""
     within("image_side", width, height)
-    h, w, _ = img.shape
-    x = img.astype(np.int64)
+    n, h, w, c = x.shape
+    x = x.astype(np.float64)
     if w != width:
-        x = _round_clip(np.einsum("ow,hwc->hoc", antialias_matrix(w, width), x, optimize=True))
+        x = _round_clip(np.matmul(antialias_matrix(w, width).astype(np.float64), x.reshape(n * h, w, c)).astype(np.int64)).reshape(n, h, width, c).astype(np.float64)
     if h != height:
-        x = _round_clip(np.einsum("oh,hwc->owc", antialias_matrix(h, height), x, optimize=True))
+        x = _round_clip(np.matmul(antialias_matrix(h, height).astype(np.float64), x.reshape(n, h, width * c)).astype(np.int64)).reshape(n, height, width, c)
     return x.astype(np.uint8)
 
 
@@ -148,11 +159,11 @@ CLIP_MEAN, CLIP_STD = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.261302
 IMAGENET_MEAN, IMAGENET_STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 
 
-def patches_of(frames: list[np.ndarray], factor: int = 28, min_pixels: int = 56 * 56, max_pixels: int = 28 * 28 * 1280, mean: tuple = CLIP_MEAN, std: tuple = CLIP_STD) -> tuple[np.ndarray, tuple[int, int, int]]:
-    """An image (one frame) or video for a vision-language model: all frames take the size of the first."""
+def patches_of(frames: list[np.ndarray], factor: int = 28, min_pixels: int = 56 * 56, max_pixels: int = 28 * 28 * 1280, mean: tuple = CLIP_MEAN, std: tuple = CLIP_STD, like: tuple[int, int] | None = None) -> tuple[np.ndarray, tuple[int, int, int]]:
+    """An image (one frame) or video for a vision-language model: all frames take the size of the first, or that of a frame as large as ``like``."""
     for f in frames:
         within("qwen_side", *f.shape[:2])
-    h, w = smart_size(*frames[0].shape[:2], factor, min_pixels, max_pixels)
+    h, w = smart_size(*(like or frames[0].shape[:2]), factor, min_pixels, max_pixels)
     x = np.stack([resize_bicubic(f, w, h) for f in frames])
     return patchify(normalize(to_tensor(x), mean, std))
 
@@ -184,15 +195,32 @@ def to_bytes(frames: np.ndarray) -> np.ndarray:
     return (frames * 255).astype(np.int64).astype(np.uint8) if frames.dtype.kind == "f" else frames.astype(np.uint8)
 
 
+def bounded_size(h: int, w: int, target_height: int = 720) -> tuple[int, int]:
+    """(height, width) with at most the area of a 16:9 frame of ``target_height``."""
+    most = target_height * (target_height * 16 // 9)
+    if h * w <= most:
+        return h, w
+    k = np.sqrt(most / (h * w))
+    return int(h * k), int(w * k)
+
+
 def area_resize(img: np.ndarray, width: int, height: int) -> np.ndarray:
     """Mean over the source area of each target pixel."""
+    return area_stack(img[None], width, height)[0]
+
+
+def area_stack(x: np.ndarray, width: int, height: int) -> np.ndarray:
+    """``area_resize`` of a stack N x H x W x C."""
+    if x.shape[1:3] == (height, width):
+        return x
+
     def weights(src: int, dst: int) -> np.ndarray:
         lo, hi = np.arange(dst) * src / dst, (np.arange(dst) + 1) * src / dst
         at = np.arange(src)
         w = np.clip(np.minimum(at + 1, hi[:, None]) - np.maximum(at, lo[:, None]), 0, None)
         return w / w.sum(axis=1, keepdims=True)
 
-    x = np.einsum("oh,hwc,pw->opc", weights(img.shape[0], height), img.astype(np.float64), weights(img.shape[1], width), optimize=True)
+    x = np.einsum("oh,nhwc,pw->nopc", weights(x.shape[1], height), x.astype(np.float64), weights(x.shape[2], width), optimize=True)
     return np.clip(np.rint(x), 0, 255).astype(np.uint8)
 
 

@@ -42,26 +42,70 @@ def tensor_value(x: np.ndarray, format: str = "ND") -> dict:  # noqa: A002
 
 
 def per_row(kernel: Callable, schema: str, permissive: bool = False) -> Callable:
-    """A pandas UDF that calls ``kernel`` on each row's value; a null gives nulls. ``permissive`` turns media errors into null."""
+    """A pandas UDF that calls ``kernel`` on each row's value; a null gives nulls.
+
+    With ``permissive`` a media error doesn't fail the job: the row's fields are null and a further field ``_error`` has the message (null elsewhere).
+    """
+    names = [f.split(":")[0].strip() for f in _fields(schema)]
+    if permissive:
+        schema = schema[: schema.rindex(">")] + ", _error: string>"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for values in batches:
-            out = []
-            for v in values.to_dict("records") if isinstance(values, pd.DataFrame) else values.tolist():
-                missing = v is None or (isinstance(v, dict) and v.get("data", 0) is None)
+            columns = {n: [] for n in names}
+            errors = []
+            for v in _records(values):
+                missing, error = v is None or (isinstance(v, dict) and v.get("data", 0) is None), None
+                out = None
                 try:
-                    out.append(None if missing else kernel(v))
-                except MediaError:
+                    out = None if missing else kernel(v)
+                except MediaError as e:
                     if not permissive:
                         raise
-                    out.append(None)
-            names = [f.split(":")[0].strip() for f in _fields(schema)]
-            yield pd.DataFrame([[None if o is None else o[n] for n in names] for o in out], columns=names)
+                    error = str(e)
+                for n in names:
+                    columns[n].append(None if out is None else out[n])
+                errors.append(error)
+            yield pd.DataFrame(columns | ({"_error": errors} if permissive else {}))
 
     return run
 
 
+def _records(values) -> Iterator:
+    """The rows of a batch one by one, without a copy of the whole batch."""
+    if isinstance(values, pd.DataFrame):
+        names = list(values.columns)
+        return (dict(zip(names, row)) for row in zip(*(values[n] for n in names)))
+    return iter(values)
+
+
+def stacked(kernel: Callable[[np.ndarray], np.ndarray], image: Column, schema: str, wrap: Callable, permissive: bool = False) -> Column:
+    """``kernel`` over stacks of equally large images (n x H x W x C): one call for each shape of a batch, not for each row. Without ``permissive`` only: an error
+    must name its own row, so a permissive call goes row by row."""
+    if permissive:
+        return per_row(lambda i: wrap(kernel(image_array(i)[None])[0], i["origin"], i["format"]), schema, True)(image)
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.split(":")[0].strip() for f in _fields(schema)]
+        for values in batches:
+            rows, groups = list(_records(values)), {}
+            for k, i in enumerate(rows):
+                if i["data"] is not None:
+                    groups.setdefault((i["height"], i["width"], i["nChannels"]), []).append(k)
+            out: list = [None] * len(rows)
+            for (h, w, c), own in groups.items():
+                many = max(1, min(64, (32 << 20) // max(1, h * w * c)))
+                for at in range(0, len(own), many):
+                    some = own[at : at + many]
+                    for k, x in zip(some, kernel(np.stack([image_array(rows[k]) for k in some]))):
+                        out[k] = wrap(x, rows[k]["origin"], rows[k]["format"])
+            yield pd.DataFrame({n: [None if o is None else o[n] for o in out] for n in names})
+
+    return run(image)
+
+
 def _fields(schema: str) -> list[str]:
     inner, depth, out, word = schema[schema.index("<") + 1 : schema.rindex(">")], 0, [], ""
     for c in inner:
@@ -75,29 +119,44 @@ def _fields(schema: str) -> list[str]:
     return [*out, word]
 
 
-def crop(image: Column, top: int, left: int, height: int, width: int) -> Column:
-    return per_row(lambda i: image_value(px.crop(image_array(i), top, left, height, width), i["origin"], i["format"]), IMAGE)(image)
+def crop(image: Column, top: int, left: int, height: int, width: int, permissive: bool = False) -> Column:
+    return stacked(lambda x: px.crop_stack(x, top, left, height, width), image, IMAGE, image_value, permissive)
+
+
+def resize(image: Column, width: int, height: int, permissive: bool = False) -> Column:
+    return stacked(lambda x: px.resize_stack(x, width, height), image, IMAGE, image_value, permissive)
+
 
+def area_resize(image: Column, width: int, height: int, permissive: bool = False) -> Column:
+    """Mean over the source area of each target pixel."""
+    return stacked(lambda x: px.area_stack(x, width, height), image, IMAGE, image_value, permissive)
 
-def resize(image: Column, width: int, height: int) -> Column:
-    return per_row(lambda i: image_value(px.resize_bicubic(image_array(i), width, height), i["origin"], i["format"]), IMAGE)(image)
 
+def bounded_resize(image: Column, target_height: int = 720, permissive: bool = False) -> Column:
+    """Images whose area exceeds that of a 16:9 frame of ``target_height`` are shrunk to it by area means; others stay as they are."""
+    return stacked(lambda x: px.area_stack(x, *px.bounded_size(x.shape[1], x.shape[2], target_height)[::-1]), image, IMAGE, image_value, permissive)
 
-def to_tensor(image: Column, layout: str = "NCHW") -> Column:
-    return per_row(lambda i: tensor_value(px.to_tensor(image_array(i)[None], layout), layout), TENSOR)(image)
 
+def to_tensor(image: Column, layout: str = "NCHW", permissive: bool = False) -> Column:
+    return stacked(lambda x: px.to_tensor(x, layout)[:, None], image, TENSOR, lambda t, *_: tensor_value(t, layout), permissive)
 
-def normalize(tensor: Column, mean: tuple, std: tuple, scale: float = 1.0) -> Column:
-    return per_row(lambda t: tensor_value(px.normalize(tensor_array(t), mean, std, t["format"], scale), t["format"]), TENSOR)(tensor)
 
+def into_bytes(tensor: Column, permissive: bool = False) -> Column:
+    """Floats times 255 as bytes, without clipping; other integers cast."""
+    return per_row(lambda t: tensor_value(px.to_bytes(tensor_array(t)), t["format"]), TENSOR, permissive)(tensor)
 
-def resize_crop(tensor: Column, resize_to: tuple, crop_to: tuple, mode: str = "bilinear", pos: tuple = (0.5, 0.5), round_mode: str = "truncate") -> Column:
-    return per_row(lambda t: tensor_value(px.resize_crop(tensor_array(t), resize_to, crop_to, mode, pos, round_mode), "NCHW"), TENSOR)(tensor)
 
+def normalize(tensor: Column, mean: tuple, std: tuple, scale: float = 1.0, permissive: bool = False) -> Column:
+    return per_row(lambda t: tensor_value(px.normalize(tensor_array(t), mean, std, t["format"], scale), t["format"]), TENSOR, permissive)(tensor)
 
-def preprocess(image: Column, resize_to: tuple, crop_to: tuple, mean: tuple, std: tuple, **options) -> Column:
-    """to_tensor, resize_crop and normalize in one exchange with Python."""
-    return per_row(lambda i: tensor_value(px.fused_preprocess(image_array(i)[None], resize_to, crop_to, mean, std, **options), "NCHW"), TENSOR)(image)
+
+def resize_crop(tensor: Column, resize_to: tuple, crop_to: tuple, mode: str = "bilinear", pos: tuple = (0.5, 0.5), round_mode: str = "truncate", permissive: bool = False) -> Column:
+    return per_row(lambda t: tensor_value(px.resize_crop(tensor_array(t), resize_to, crop_to, mode, pos, round_mode), "NCHW"), TENSOR, permissive)(tensor)
+
+
+def preprocess(image: Column, resize_to: tuple, crop_to: tuple, mean: tuple, std: tuple, permissive: bool = False, **options) -> Column:
+    """to_tensor, resize_crop and normalize in one exchange with Python, a stack of images at a time."""
+    return stacked(lambda x: px.fused_preprocess(x, resize_to, crop_to, mean, std, **options)[:, None], image, TENSOR, lambda t, *_: tensor_value(t, "NCHW"), permissive)
 
 
 def set_format(tensor: Column, format: str) -> Column:  # noqa: A002
@@ -110,32 +169,44 @@ def num_bytes(value: Column) -> Column:
     return F.length(value["data"])
 
 
-def tiles(image: Column, size: int = 448, min_num: int = 1, max_num: int = 12, thumbnail: bool = True) -> Column:
-    return per_row(lambda i: tensor_value(px.tiles_of(image_array(i), size, min_num, max_num, thumbnail), "NCHW"), TENSOR)(image)
+def tiles(image: Column, size: int = 448, min_num: int = 1, max_num: int = 12, thumbnail: bool = True, permissive: bool = False) -> Column:
+    return per_row(lambda i: tensor_value(px.tiles_of(image_array(i), size, min_num, max_num, thumbnail), "NCHW"), TENSOR, permissive)(image)
 
 
 PATCHES = "struct<shape: array<int>, dtype: string, format: string, data: binary, grid: array<int>>"
 
 
-def image_patches(image: Column, **options) -> Column:
+def image_patches(image: Column, permissive: bool = False, **options) -> Column:
     """Patches and grid of one image for a vision-language model."""
 
     def run(i) -> dict:
         p, grid = px.patches_of([image_array(i)], **options)
         return {**tensor_value(p), "grid": list(grid)}
 
-    return per_row(run, PATCHES)(image)
+    return per_row(run, PATCHES, permissive)(image)
 
 
 def video_patches(frames: DataFrame, video: str, index: str, image: str, **options) -> DataFrame:
-    """Patches and grid of each video; its frames are put in order in one task, so a video must fit into a worker."""
+    """Patches of each video by pairs of its frames in order: video, pair, shape, dtype, format, data, grid (of the whole video). Row-wise one after another the pairs' patches are the video's.
+
+    A task holds two frames, never a video; an odd last frame is paired with itself. All frames take the size of the video's first.
+    """
+    from pyspark.sql import Window
+
+    f = frames.select(F.col(video).alias("video"), F.col(index).alias("index"), F.col(image).alias("image"))
+    small = f.select("video", "index", F.col("image.height").alias("h"), F.col("image.width").alias("w"))
+    own = Window.partitionBy("video").orderBy("index")
+    place = small.withColumn("place", F.row_number().over(own) - 1).withColumn("h0", F.first("h").over(own)).withColumn("w0", F.first("w").over(own))
+    place = place.withColumn("frames", F.count(F.lit(1)).over(Window.partitionBy("video"))).select("video", "index", "place", "h0", "w0", "frames")
+    paired = f.join(place, ["video", "index"]).withColumn("pair", F.floor(F.col("place") / 2))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(index)[image].tolist()
-        p, grid = px.patches_of([image_array(r) for r in rows], **options)
-        return pd.DataFrame([[key[0], *tensor_value(p).values(), list(grid)]], columns=["video", "shape", "dtype", "format", "data", "grid"])
+        pdf = pdf.sort_values("place")
+        first = pdf.iloc[0]
+        p, (_, gh, gw) = px.patches_of([image_array(r) for r in pdf["image"]], like=(int(first["h0"]), int(first["w0"])), **options)
+        return pd.DataFrame([[*key, *tensor_value(p).values(), [-(-int(first["frames"]) // 2), gh, gw]]], columns=["video", "pair", "shape", "dtype", "format", "data", "grid"])
 
-    return frames.select(F.col(video).alias("video"), index, image).groupBy("video").applyInPandas(run, f"video {frames.schema[video].dataType.simpleString()}, shape array<int>, dtype string, format string, data binary, grid array<int>")
+    return paired.groupBy("video", "pair").applyInPandas(run, f"video {frames.schema[video].dataType.simpleString()}, pair long, shape array<int>, dtype string, format string, data binary, grid array<int>")
 
 
 def model_inputs(images: DataFrame | None, videos: DataFrame | None) -> DataFrame | None:
@@ -159,7 +230,7 @@ def perceptual_hash(image: Column, block: int = 16) -> Column:
     return run(image)
 
 
-# ---- long-form pixels: the same semantics as expressions over (y, x, channel, value) rows ------------------------
+# ---- long-form pixels: the same semantics as expressions over (y, x, channel, value) rows
 
 
 def crop_rows(pixels: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
@@ -182,17 +253,22 @@ def patch_position(y: Column, x: Column, c: Column, t: Column, gw: Column, gh: C
     return F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"))
 
 
-# ---- audio -----------------------------------------------------------------------------------------------------
+# ---- audio
+
 
+def resample_audio(audio: Column, rate: int, permissive: bool = False) -> Column:
+    """An AUDIO struct at another rate."""
+    return per_row(lambda a: {"sample_rate": rate, "samples": au.resample(np.asarray(a["samples"], np.float32), a["sample_rate"], rate)}, AUDIO, permissive)(audio)
 
-def load_audio(content: Column, target: int | None = None) -> Column:
+
+def load_audio(content: Column, target: int | None = None, permissive: bool = False) -> Column:
     """AUDIO struct of a WAV file's bytes: mono, resampled on request."""
 
     def run(data: bytes) -> dict:
         rate, x = au.load(data, target)
-        return {"sample_rate": rate, "samples": x.tolist()}
+        return {"sample_rate": rate, "samples": x.astype(np.float32)}
 
-    return per_row(run, AUDIO)(content)
+    return per_row(run, AUDIO, permissive)(content)
 
 
 def chunk_audio(clips: DataFrame, key: str, audio: str, length: float = 30, least: float = 1, rate: int = 16000) -> DataFrame:
@@ -204,7 +280,7 @@ def chunk_audio(clips: DataFrame, key: str, audio: str, length: float = 30, leas
             out = []
             for k, a in zip(b[key], b[audio]):
                 x = au.resample(np.asarray(a["samples"], np.float32), a["sample_rate"], rate)
-                out += [(k, i, s, e, v.astype(np.float32).tolist()) for i, (s, e, v) in enumerate(au.chunks(x, rate, length, least))]
+                out += [(k, i, s, e, v.astype(np.float32)) for i, (s, e, v) in enumerate(au.chunks(x, rate, length, least))]
             yield pd.DataFrame(out, columns=[key, "chunk", "start", "end", "samples"])
 
     return clips.select(key, audio).mapInPandas(run, schema)
@@ -226,7 +302,7 @@ def chunk_rows(samples: DataFrame, key: str, index: str, size: int, least: int)
     return c.join(full, [key, "chunk"])
 
 
-# ---- keyframes -------------------------------------------------------------------------------------------------
+# ---- keyframes
 
 
 def _by_item(frames: DataFrame, key: str, index: str, vec: str, kernel: Callable, columns: str) -> DataFrame:
@@ -285,22 +361,51 @@ def prefix_budget(parts: DataFrame, key: str, order: str, count: str, budget: in
     return parts.withColumn("taken", F.greatest(F.lit(0), F.least(F.col(count), budget - before)))
 
 
-# ---- token compression -----------------------------------------------------------------------------------------
+# ---- token compression
+
 
+def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 8192, eps: float | None = None) -> DataFrame:
+    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of more than ``limit`` tokens are left as they are.
 
-def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 8192) -> DataFrame:
-    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of more than ``limit`` tokens are left as they are."""
+    With ``eps`` the components are found from sampled anchors, as in ``token_components``.
+    """
 
     def kernel(x: np.ndarray, _) -> list:
         if cp.gated(len(x), limit):
             return [(i, v.tolist()) for i, v in enumerate(x)]
-        c = cp.compress_image(x, tau) if frames is None else cp.compress_video(x, frames, tau)
+        c = cp.compress_image(x, tau, eps) if frames is None else cp.compress_video(x, frames, tau, eps)
         c = c if ratio is None else cp.to_exact(c, cp.target_size(len(x), ratio), tau)
         return [(i, v.tolist()) for i, v in enumerate(c)]
 
     return _by_item(tokens.select(key, index, vec), key, index, vec, kernel, "center int, vec array<double>")
 
 
+def token_edges(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, block: int = 1024) -> DataFrame:
+    """(key, x, y): an item's tokens x < y of cosine above tau, zero vectors apart.
+
+    A block of tokens is sent once to each pair of blocks that it is in and compared by a matrix product, so no task has more than two blocks, however many tokens an item has.
+    """
+    kind, place = tokens.schema[key].dataType.simpleString(), tokens.schema[index].dataType.simpleString()
+    rows = tokens.select(F.col(key).alias("key"), F.col(index).alias("at"), F.col(vec).alias("vec"))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"))
+    sent = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "at", "vec")
+
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        at, side = pdf["at"].to_numpy(), pdf["own"].to_numpy()
+        left = np.flatnonzero(side == k[1])
+        right = left if k[1] == k[2] else np.flatnonzero(side == k[2])
+        a, b = np.nonzero(u[left] @ u[right].T > tau)
+        a, b = at[left[a]], at[right[b]]
+        if k[1] == k[2]:
+            a, b = a[a < b], b[a < b]
+        return pd.DataFrame({"key": [k[0]] * len(a), "x": np.minimum(a, b), "y": np.maximum(a, b)})
+
+    return sent.groupBy("key", "i", "j").applyInPandas(run, f"key {kind}, x {place}, y {place}").withColumnRenamed("key", key)
+
+
 def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 8192, eps: float | None = None) -> DataFrame:
     """(key, token, component): components of cosine above tau within an item, numbered by their smallest tokens.
 

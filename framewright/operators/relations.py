@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# ---- joins -----------------------------------------------------------------------------------------------------
+# ---- joins
 
 
 def key_frame_of(frames: DataFrame, video: str, pts: str, is_key: str, tie: str) -> DataFrame:
@@ -39,7 +39,7 @@ def zip_strict(a: DataFrame, b: DataFrame, key: str, pos: str) -> DataFrame:
     return a.join(b, [key, pos]).join(checked, key).filter("ok is null").drop("ok")
 
 
-# ---- aggregates ------------------------------------------------------------------------------------------------
+# ---- aggregates
 
 
 def label_counts(objects: DataFrame, frame: str, label: str, pos: str) -> DataFrame:
@@ -88,7 +88,7 @@ def majority(rows: DataFrame, key: str, value: str, pos: str, first: int = 5, de
     return votes.withColumn("r", F.row_number().over(w)).filter("r = 1").select(key, F.coalesce(value, F.lit(default)).alias("language"))
 
 
-# ---- ordered operators -----------------------------------------------------------------------------------------
+# ---- ordered operators
 
 
 def changed_frames(frames: DataFrame, video: str, index: str, bits: str, threshold: int = 5, strict_compat: bool = True) -> DataFrame:

@@ -48,7 +48,7 @@ def yes_probability(no: Column, yes: Column) -> Column:
     return 1 / (1 + F.exp(no - yes))
 
 
-# ---- scenes ----------------------------------------------------------------------------------------------------
+# ---- scenes
 
 
 def center(box: Column) -> tuple[Column, Column]:
@@ -90,7 +90,7 @@ def describe(objects: DataFrame, pairs: DataFrame, counts: DataFrame, frame: str
     return joined.select(frame, F.concat_ws(" | ", F.array_join(texts(F.col("p")), " | "), F.array_join(texts(F.col("r")), " | "), F.col("counts")).alias("description"))
 
 
-# ---- prompts and keywords --------------------------------------------------------------------------------------
+# ---- prompts and keywords
 
 
 def clock(seconds: Column) -> Column:

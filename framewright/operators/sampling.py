@@ -108,16 +108,16 @@ def sample_positions(positions: Column, k: Column) -> Column:
 # ---- relations -------------------------------------------------------------------------------------------------
 
 
-def sample_in_range(points: DataFrame, spans: DataFrame, k: int, key: str, ts: str, span_id: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """(key, span_id, i, ts): of a key's points within a closed span all if at most k, else those of rank int((j + 1) * m / (k + 1)).
+def sample_in_range(points: DataFrame, spans: DataFrame, k: int, key: str, ts: str, span_id: str, lo: str = "lo", hi: str = "hi", tie: str | None = None) -> DataFrame:
+    """(key, span_id, i, ts): with equal timestamps in the order of ``tie`` (which is returned too), of a key's points within a closed span all if at most k, else those of rank int((j + 1) * m / (k + 1)).
 
     The spans of a key meet only that key's points.
     """
     inside = points.join(spans, key).filter(F.col(ts).between(F.col(lo), F.col(hi)))
     w = Window.partitionBy(key, span_id)
-    ranked = inside.withColumn("i", (F.row_number().over(w.orderBy(ts)) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(w))
+    ranked = inside.withColumn("i", (F.row_number().over(w.orderBy(ts, *([tie] if tie else []))) - 1).cast("long")).withColumn("m", F.count(F.lit(1)).over(w))
     wanted = F.transform(seq(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda j: F.floor((j + 1) * F.col("m") / (k + 1)))
-    return ranked.filter((F.lit(k) > 0) & ((F.col("m") <= k) | F.array_contains(wanted, F.col("i")))).select(key, span_id, "i", ts)
+    return ranked.filter((F.lit(k) > 0) & ((F.col("m") <= k) | F.array_contains(wanted, F.col("i")))).select(key, span_id, "i", ts, *([tie] if tie else []))
 
 
 def indices_by_timestamp(points: DataFrame, wanted: DataFrame, key: str, ts: str, index: str) -> DataFrame:

@@ -18,13 +18,13 @@ from .catalog import query
 from .pipeline import Pipeline, Spec
 from .standins import FRAMES_SQL, frames, hashes, query_vector, table
 
-# ---- long-form pixels: part p is an image of 16 x 16 x 3 bytes, value (k * 31 + i * 7) % 256 -----------------------
+# ---- long-form pixels: part p is an image of 16 x 16 x 3 bytes, value (k * 31 + i * 7) % 256
 
-_PIX_SQL = "SELECT p_partkey, i // 48 AS y, i // 3 % 16 AS x, i % 3 AS c, (p_partkey * 31 + i * 7) % 256 AS value FROM part, (SELECT unnest(range(0, 768)) AS i) WHERE p_partkey % 10 = 0"
+_PIX_SQL = "SELECT p_partkey, i // 48 AS y, i // 3 % 16 AS x, i % 3 AS c, (p_partkey * 31 + i * 7) % 256 AS value FROM part, (SELECT unnest(range(0, 768)) AS i)"
 
 
 def _pixels(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey % 10 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(767).cast("long"))).alias("i"))
+    p = table(spark, sf, "part").select("p_partkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(767).cast("long"))).alias("i"))
     return p.select("p_partkey", F.floor(F.col("i") / 48).alias("y"), (F.floor(F.col("i") / 3) % 16).alias("x"), (F.col("i") % 3).alias("c"), ((F.col("p_partkey") * 31 + F.col("i") * 7) % 256).alias("value"))
 
 
@@ -55,7 +55,7 @@ def t22(spark, sf):
     return table(spark, sf, "part").select("p_partkey", ((F.col("p_retailprice") / 1000 * 255).cast("long") % 256).alias("v"))
 
 
-# ---- dense images ----------------------------------------------------------------------------------------------
+# ---- dense images
 
 
 def images(spark, sf, h: int = 40, w: int = 56):
@@ -71,29 +71,35 @@ def images(spark, sf, h: int = 40, w: int = 56):
     return table(spark, sf, "part").select("p_partkey", make("p_partkey").alias("image"))
 
 
-def _sql_images(spark, sf, h: int = 40, w: int = 56):
-    """The images that the SQL of a query covers: one part in twenty."""
-    return images(spark, sf, h, w).filter("p_partkey % 20 = 0")
-
-
 def _stats(df, col: str):
     """Shape and digest of a TENSOR column: exact content without the bytes."""
     return df.select("p_partkey", F.array_join(F.transform(F.col(f"{col}.shape"), lambda x: x.cast("string")), "x").alias("shape"), F.sha2(F.col(f"{col}.data"), 256).alias("digest"))
 
 
-_I = "(SELECT p_partkey, unnest(range(0, 6720)) AS i FROM part WHERE p_partkey % 20 = 0)"
+def _byte_sum(data: str, period: int):
+    """Sum over the bytes of value times (1 + place modulo ``period``): content as one number that SQL can compute too."""
+
+    @F.pandas_udf("bigint")
+    def run(values):
+        import pandas as pd
+
+        return pd.Series([int((np.frombuffer(v, np.uint8).astype(np.int64) * (1 + np.arange(len(v)) % period)).sum()) for v in values])
 
+    return run(data)
 
-@query("s2_t20_image_properties", "SELECT p_partkey, 40 AS height, 56 AS width, 6720 AS nbytes FROM part WHERE p_partkey % 20 = 0")
+
+_I = "(SELECT p_partkey, unnest(range(0, 6720)) AS i FROM part)"
+
+
+@query("s2_t20_image_properties", "SELECT p_partkey, 40 AS height, 56 AS width, 6720 AS nbytes FROM part")
 def s2(spark, sf):
-    return _sql_images(spark, sf).select("p_partkey", "image.height", "image.width", m.num_bytes(F.col("image")).alias("nbytes"))
+    return images(spark, sf).select("p_partkey", "image.height", "image.width", m.num_bytes(F.col("image")).alias("nbytes"))
 
 
 @query("t1_crop_dense", f"SELECT p_partkey, sum((p_partkey * 31 + i * 7) % 256)::BIGINT AS total, count(*) AS nbytes FROM {_I} WHERE i // 168 BETWEEN 5 AND 24 AND i // 3 % 56 BETWEEN 7 AND 36 GROUP BY 1")
 def t1d(spark, sf):
-    c = _sql_images(spark, sf).select("p_partkey", m.crop(F.col("image"), 5, 7, 20, 30).alias("c"))
-    total = F.aggregate(F.sequence(F.lit(1), F.length("c.data")), F.lit(0).cast("bigint"), lambda a, i: a + F.conv(F.hex(F.substring(F.col("c.data"), i, F.lit(1))), 16, 10).cast("bigint"))
-    return c.select("p_partkey", total.alias("total"), m.num_bytes(F.col("c")).cast("long").alias("nbytes"))
+    c = images(spark, sf).select("p_partkey", m.crop(F.col("image"), 5, 7, 20, 30).alias("c"))
+    return c.select("p_partkey", _byte_sum("c.data", 1).alias("total"), m.num_bytes(F.col("c")).cast("long").alias("nbytes"))
 
 
 @query("t2_resize")
@@ -114,9 +120,9 @@ def t9(spark, sf):
     return _stats(Pipeline().build(specs, ["t"]).run(images(spark, sf)), "t")
 
 
-@query("t10_t13_t14_patches", "SELECT p_partkey, 1 AS gt, 2 * h AS gh, 2 * w AS gw, 2 * h * 2 * w * 3 * 2 * 14 * 14 * 4 AS nbytes FROM part, (SELECT ceil(40 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS h, ceil(56 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS w) WHERE p_partkey % 20 = 0")
+@query("t10_t13_t14_patches", "SELECT p_partkey, 1 AS gt, 2 * h AS gh, 2 * w AS gw, 2 * h * 2 * w * 3 * 2 * 14 * 14 * 4 AS nbytes FROM part, (SELECT ceil(40 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS h, ceil(56 * sqrt(3136 / 2240.0::DOUBLE) / 28)::INT AS w)")
 def t10(spark, sf):
-    p = _sql_images(spark, sf).select("p_partkey", m.image_patches(F.col("image")).alias("p"))
+    p = images(spark, sf).select("p_partkey", m.image_patches(F.col("image")).alias("p"))
     return p.select("p_partkey", F.col("p.grid")[0].alias("gt"), F.col("p.grid")[1].alias("gh"), F.col("p.grid")[2].alias("gw"), m.num_bytes(F.col("p")).alias("nbytes"))
 
 
@@ -124,17 +130,42 @@ def t10(spark, sf):
 def t13(spark, sf):
     v = images(spark, sf).withColumn("video", F.col("p_partkey") % 7)
     p = m.video_patches(v, "video", "p_partkey", "image")
-    return p.select("video", F.array_join(F.transform("grid", lambda x: x.cast("string")), "x").alias("grid"), F.sha2("data", 256).alias("digest"))
+    return p.select("video", "pair", F.array_join(F.transform("grid", lambda x: x.cast("string")), "x").alias("grid"), F.sha2("data", 256).alias("digest"))
+
+
+@query(
+    "t21_area_resize",
+    f"""WITH x AS (SELECT p_partkey, i // 3 // 56 // 2 AS y, i // 3 % 56 // 2 AS x, i % 3 AS c, round_even(avg((p_partkey * 31 + i * 7) % 256), 0) AS v FROM {_I} GROUP BY ALL)
+ SELECT p_partkey, 20 AS height, 28 AS width, CAST(sum(v * (1 + ((y * 28 + x) * 3 + c) % 97)) AS BIGINT) AS total FROM x GROUP BY 1""",
+)
+def t21a(spark, sf):
+    r = images(spark, sf).select("p_partkey", m.area_resize(F.col("image"), 28, 20).alias("r"))
+    return r.select("p_partkey", "r.height", "r.width", _byte_sum("r.data", 97).alias("total"))
+
+
+@query("t21_bounded_resize", "SELECT p_partkey, CAST(floor(40 * sqrt(16 * 28 / 2240.0::DOUBLE)) AS INT) AS height, CAST(floor(56 * sqrt(16 * 28 / 2240.0::DOUBLE)) AS INT) AS width FROM part")
+def t21b(spark, sf):
+    r = images(spark, sf).select("p_partkey", m.bounded_resize(F.col("image"), 16).alias("r"))
+    return r.select("p_partkey", "r.height", "r.width")
+
+
+@query(
+    "t22_tensor_into_bytes",
+    f"""SELECT p_partkey, CAST(sum(trunc((((p_partkey * 31 + i * 7) % 256)::FLOAT * (1 / 255.0::DOUBLE)::FLOAT) * 255::FLOAT) * (1 + i % 97)) AS BIGINT) AS total FROM {_I} GROUP BY 1""",
+)
+def t22b(spark, sf):
+    r = images(spark, sf).select("p_partkey", m.into_bytes(m.to_tensor(F.col("image"), "NHWC")).alias("r"))
+    return r.select("p_partkey", _byte_sum("r.data", 97).alias("total"))
 
 
-@query("t18_tiles", "SELECT p_partkey, '3x3x32x32' AS shape FROM part WHERE p_partkey % 20 = 0")
+@query("t18_tiles", "SELECT p_partkey, '3x3x32x32' AS shape FROM part")
 def t18(spark, sf):
-    return _stats(_sql_images(spark, sf, 40, 80).select("p_partkey", m.tiles(F.col("image"), 32).alias("t")), "t").drop("digest")
+    return _stats(images(spark, sf, 40, 80).select("p_partkey", m.tiles(F.col("image"), 32).alias("t")), "t").drop("digest")
 
 
-@query("t19_set_format", "SELECT p_partkey, 'NHWC' AS format, 26880 AS nbytes FROM part WHERE p_partkey % 20 = 0")
+@query("t19_set_format", "SELECT p_partkey, 'NHWC' AS format, 26880 AS nbytes FROM part")
 def t19(spark, sf):
-    t = _sql_images(spark, sf).select("p_partkey", m.set_format(m.to_tensor(F.col("image")), "NHWC").alias("t"))
+    t = images(spark, sf).select("p_partkey", m.set_format(m.to_tensor(F.col("image")), "NHWC").alias("t"))
     return t.select("p_partkey", "t.format", m.num_bytes(F.col("t")).alias("nbytes"))
 
 
@@ -143,49 +174,93 @@ def w2(spark, sf):
     return images(spark, sf).select("p_partkey", F.posexplode(m.perceptual_hash(F.col("image"))).alias("word", "bits"))
 
 
-# ---- audio: customer c is a clip of 2000 stereo 16-bit samples ----------------------------------------------------
+# ---- audio: customer c is a clip of 200 stereo frames of 16-bit samples
 
 _S = "((c_custkey * 7919 + i * 104729) % 65536 - 32768)"
 
 
 def _samples(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 25 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))).alias("i"))
+    c = table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))).alias("i"))
     return c.withColumn("s", F.expr(_S))
 
 
-@query("a1_pcm16", f"SELECT c_custkey, i, greatest(-1, least(1, {_S} / 32768.0::DOUBLE)) AS v FROM customer, (SELECT unnest(range(0, 400)) AS i) WHERE c_custkey % 25 = 0")
+@query("a1_pcm16", f"SELECT c_custkey, i, greatest(-1, least(1, {_S} / 32768.0::DOUBLE)) AS v FROM customer, (SELECT unnest(range(0, 400)) AS i)")
 def a1(spark, sf):
     return _samples(spark, sf).select("c_custkey", "i", m.pcm16(F.col("s")).alias("v"))
 
 
-@query("a3_mono", f"SELECT c_custkey, i // 2 AS frame, avg({_S} / 32768.0::DOUBLE) AS v FROM customer, (SELECT unnest(range(0, 400)) AS i) WHERE c_custkey % 25 = 0 GROUP BY ALL")
+@query("a3_mono", f"SELECT c_custkey, i // 2 AS frame, avg({_S} / 32768.0::DOUBLE) AS v FROM customer, (SELECT unnest(range(0, 400)) AS i) GROUP BY ALL")
 def a3(spark, sf):
     return m.mono_rows(_samples(spark, sf).select("c_custkey", F.floor(F.col("i") / 2).alias("frame"), m.pcm16(F.col("s")).alias("v")), "c_custkey", "frame", "v")
 
 
-@query("a6_chunk_rows", "SELECT c_custkey, i // 150 AS chunk, count(*) AS n FROM customer, (SELECT unnest(range(0, 400)) AS i) WHERE c_custkey % 25 = 0 AND i < 310 + c_custkey % 90 GROUP BY ALL HAVING count(*) >= 40")
+@query("a6_chunk_rows", "SELECT c_custkey, i // 150 AS chunk, count(*) AS n FROM customer, (SELECT unnest(range(0, 400)) AS i) WHERE i < 310 + c_custkey % 90 GROUP BY ALL HAVING count(*) >= 40")
 def a6(spark, sf):
     return m.chunk_rows(_samples(spark, sf).filter("i < 310 + c_custkey % 90"), "c_custkey", "i", 150, 40).groupBy("c_custkey", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
-def wav_bytes(samples: np.ndarray, rate: int, channels: int = 1) -> bytes:
-    data = samples.astype("<i2").tobytes()
-    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, channels, rate, rate * channels * 2, channels * 2, 16) + b"data" + struct.pack("<I", len(data)) + data
+def wav_bytes(data: bytes, rate: int, channels: int = 1, bits: int = 16, kind: int = 1) -> bytes:
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits) + b"data" + struct.pack("<I", len(data)) + data
 
 
-@query("s3_s4_a4_load_and_resample", "SELECT c_custkey, 16000 AS rate, CAST(ceil(200 * 16000 / 44100.0::DOUBLE) AS INT) AS n FROM customer WHERE c_custkey % 25 = 0")
-def a4(spark, sf):
+def _clips(spark, sf, values: int, rate: int, channels: int, form: str):
+    """(c_custkey, content): WAV files of the customers' samples as 16, 24 or 32 bits or as floats."""
+
     @F.pandas_udf("binary")
     def clip(keys):
         import pandas as pd
 
-        return pd.Series([wav_bytes((int(k) * 7919 + np.arange(400) * 104729) % 65536 - 32768, 44100, 2) for k in keys])
+        out = []
+        for k in keys:
+            x = (int(k) * 7919 + np.arange(values) * 104729) % 65536 - 32768
+            if form == "float":
+                out.append(wav_bytes((x / 16384).astype("<f4").tobytes(), rate, channels, 32, 3))
+            else:
+                bits = int(form)
+                wide = (x.astype(np.int64) * 2 ** (bits - 16) + np.arange(values) % 251 * (bits > 16)).astype("<i4" if bits > 16 else "<i2")
+                data = wide.view(np.uint8).reshape(-1, 4)[:, :3].tobytes() if bits == 24 else wide.tobytes()
+                out.append(wav_bytes(data, rate, channels, bits))
+        return pd.Series(out)
+
+    return table(spark, sf, "customer").select("c_custkey", clip("c_custkey").alias("content"))
 
-    c = table(spark, sf, "customer").filter("c_custkey % 25 = 0").select("c_custkey", m.load_audio(clip("c_custkey"), 16000).alias("a"))
+
+@query("s3_s4_a4_load_and_resample", "SELECT c_custkey, 16000 AS rate, CAST(ceil(2000 * 16000 / 44100.0::DOUBLE) AS INT) AS n FROM customer")
+def a4(spark, sf):
+    c = _clips(spark, sf, 4000, 44100, 2, "16").select("c_custkey", m.load_audio(F.col("content"), 16000).alias("a"))
     return c.select("c_custkey", F.col("a.sample_rate").alias("rate"), F.size("a.samples").alias("n"))
 
 
-# ---- keyframes -------------------------------------------------------------------------------------------------
+@query("s3_s4_load_values", f"SELECT c_custkey, i // 2 AS frame, round(avg({_S} / 32768.0::DOUBLE), 6) AS v FROM customer, (SELECT unnest(range(0, 40)) AS i) GROUP BY ALL")
+def s3(spark, sf):
+    a = _clips(spark, sf, 40, 44100, 2, "16").select("c_custkey", m.load_audio(F.col("content")).alias("a"))
+    return a.select("c_custkey", F.posexplode("a.samples").alias("frame", "v")).select("c_custkey", F.col("frame").cast("long").alias("frame"), F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query("a2_float_wav", f"SELECT c_custkey, i, {_S} / 16384.0::DOUBLE AS v FROM customer, (SELECT unnest(range(0, 40)) AS i)")
+def a2(spark, sf):
+    a = _clips(spark, sf, 40, 16000, 1, "float").select("c_custkey", m.load_audio(F.col("content")).alias("a"))
+    return a.select("c_custkey", F.posexplode("a.samples").alias("i", "v")).select("c_custkey", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+
+
+@query("a1_pcm24_pcm32", f"SELECT c_custkey, i, {_S} * 256 + i % 251 AS v24, {_S} AS v32 FROM customer, (SELECT unnest(range(0, 20)) AS i)")
+def a1wide(spark, sf):
+    def loaded(bits):
+        a = _clips(spark, sf, 20, 16000, 1, str(bits)).select("c_custkey", m.load_audio(F.col("content")).alias("a"))
+        return a.select("c_custkey", F.posexplode("a.samples").alias("i", "v")).select("c_custkey", F.col("i").cast("long").alias("i"), F.round(F.col("v").cast("double") * (8388608 if bits == 24 else 32768)).cast("long").alias(f"v{bits}"))
+
+    return loaded(24).join(loaded(32), ["c_custkey", "i"])
+
+
+@query("permissive_load", "SELECT c_custkey, c_custkey % 3 = 0 AS failed, CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 20 END AS n FROM customer")
+def permissive(spark, sf):
+    """Every third file is broken: its error is in its row."""
+    c = _clips(spark, sf, 20, 16000, 1, "16").withColumn("content", F.when(F.col("c_custkey") % 3 == 0, F.substring("content", 5, 30)).otherwise(F.col("content")))
+    a = c.select("c_custkey", m.load_audio(F.col("content"), permissive=True).alias("a"))
+    return a.select("c_custkey", F.col("a._error").isNotNull().alias("failed"), F.when(F.col("a.samples").isNull(), -1).otherwise(F.size("a.samples")).alias("n"))
+
+
+# ---- keyframes
 
 
 def _query_list(spark, sf) -> list[float]:
@@ -245,14 +320,17 @@ def k11(spark, sf):
     return m.adaptive_frames(frames(spark, sf), 24)
 
 
-# ---- token compression: the first 12 vectors of each label's halves, doubled with noise-free copies ---------------
+# ---- token compression: the first 12 vectors of each label's halves, doubled with noise-free copies
+
+
+@query("c3_compress_sampled", "SELECT label AS video, greatest(1, CAST(ceil(count(*) * 0.3::DOUBLE) AS BIGINT)) AS centers FROM embeddings GROUP BY 1")
+def c3_compress(spark, sf):
+    return m.compress_tokens(frames(spark, sf), "video", "frame_idx", tau=0.32, ratio=0.3, eps=0.05).groupBy("video").agg(F.count(F.lit(1)).alias("centers"))
 
 
 @query("c1_j7_adjacency", "SELECT a.label, a.vec_id AS x, b.vec_id AS y FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.2 * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))")
 def c1(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("u", rel.unit(F.col("embedding")))
-    pairs = rel.object_pairs(e, "label", "vec_id", ["u"])
-    return pairs.filter(rel.dot(F.col("u_a"), F.col("u_b")) > 0.2).select("label", F.col("vec_id_a").alias("x"), F.col("vec_id_b").alias("y"))
+    return m.token_edges(table(spark, sf, "embeddings"), "label", "vec_id", "embedding", tau=0.2).select("label", "x", "y")
 
 
 @query(
@@ -293,7 +371,13 @@ def c3(spark, sf):
     return n.select("label", (F.col("n") > 8192).alias("gated"), smp.compress_target(F.col("n")).alias("k"))
 
 
-@query("c3_sampled_components")
+@query(
+    "c3_sampled_components",
+    f"""WITH RECURSIVE f AS ({FRAMES_SQL}), g AS (SELECT a.video, a.frame_idx AS x, b.frame_idx AS y FROM f a JOIN f b ON a.video = b.video WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.32 * sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))),
+ c AS (SELECT video, frame_idx AS x, frame_idx AS y FROM f UNION SELECT c.video, c.x, g.y FROM c JOIN g ON c.video = g.video AND c.y = g.x), r AS (SELECT video, x, min(y) AS root FROM c GROUP BY ALL),
+ d AS (SELECT video, x, count(*) AS degree FROM g GROUP BY ALL), o AS (SELECT r.video, r.root, row_number() OVER (PARTITION BY r.video ORDER BY max(coalesce(degree, 0)) DESC, r.root) - 1 AS component FROM r LEFT JOIN d ON d.video = r.video AND d.x = r.x GROUP BY r.video, r.root)
+ SELECT r.video, r.x::INT AS token, o.component::INT AS component FROM r JOIN o ON r.video = o.video AND r.root = o.root""",
+)
 def c3_sampled(spark, sf):
     return m.token_components(frames(spark, sf), "video", "frame_idx", tau=0.32, eps=0.05)
 

@@ -52,11 +52,11 @@ def x4(spark, sf):
 
 @query(
     "x5_j4_sample_in_range",
-    f"""WITH q AS (SELECT p.user_id, s.pos, p.t, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY p.user_id, s.pos) AS m FROM ({POINTS_SQL}) p JOIN ({SPANS_SQL}) s ON p.user_id = s.user_id AND p.t BETWEEN s.lo AND s.hi
-  WINDOW w AS (PARTITION BY p.user_id, s.pos ORDER BY p.t)) SELECT user_id, pos, i, t FROM q WHERE m <= 4 OR i IN ((1 * m) // 5, (2 * m) // 5, (3 * m) // 5, (4 * m) // 5)""",
+    f"""WITH q AS (SELECT p.user_id, s.pos, p.t, p.event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY p.user_id, s.pos) AS m FROM ({POINTS_SQL}) p JOIN ({SPANS_SQL}) s ON p.user_id = s.user_id AND p.t BETWEEN s.lo AND s.hi
+  WINDOW w AS (PARTITION BY p.user_id, s.pos ORDER BY p.t, p.event_id)) SELECT user_id, pos, i, t, event_id FROM q WHERE m <= 4 OR i IN ((1 * m) // 5, (2 * m) // 5, (3 * m) // 5, (4 * m) // 5)""",
 )
 def x5(spark, sf):
-    return smp.sample_in_range(points(spark, sf), spans(spark, sf), 4, "user_id", "t", "pos")
+    return smp.sample_in_range(points(spark, sf), spans(spark, sf), 4, "user_id", "t", "pos", tie="event_id")
 
 
 @query("x6_j3_indices_by_timestamp", f"WITH p AS ({POINTS_SQL}) SELECT user_id, t, max(i) AS i FROM p WHERE (user_id, t) IN (SELECT (user_id, t) FROM p WHERE event_id % 10 = 0) GROUP BY ALL")
@@ -100,7 +100,7 @@ def x12(spark, sf):
     return f.filter(F.array_contains(smp.int_linspace(F.lit(0), F.col("n") - 1, F.least("n", F.lit(5))), F.col("r"))).select("user_id", "r", "t")
 
 
-# ---- plan-time sizes -------------------------------------------------------------------------------------------
+# ---- plan-time sizes
 
 
 @query("t7_crop_offset", "SELECT p_partkey, greatest(0, CAST(round(p_size % 5 / 4.0::DOUBLE * (p_size * 7 + 30 - 20)) AS BIGINT)) AS rounded, greatest(0, CAST(trunc(p_size % 5 / 4.0::DOUBLE * (p_size * 7 + 30 - 20)) AS BIGINT)) AS truncated FROM part")
@@ -172,7 +172,7 @@ def c7(spark, sf):
     return t.select("p_partkey", smp.compress_target(F.col("p_size")).alias("k"), F.posexplode("l").alias("pos", "idx")).withColumn("pos", F.col("pos").cast("long"))
 
 
-# ---- joins -----------------------------------------------------------------------------------------------------
+# ---- joins
 
 
 @query("s6_j1_key_frame_of", f"SELECT user_id, event_id, i AS frame_idx, coalesce(last_value(CASE WHEN is_key THEN i END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS key_idx FROM ({POINTS_SQL})")
@@ -225,7 +225,7 @@ def j8(spark, sf):
     return rel.zip_strict(c.select("conv_id", "turn", "role"), c.select("conv_id", "turn", F.length("text").cast("long").alias("n")), "conv_id", "turn")
 
 
-# ---- aggregates ------------------------------------------------------------------------------------------------
+# ---- aggregates
 
 _G1 = f"SELECT frame, 'Count:[' || string_agg(label || ':' || n, ', ' ORDER BY first, label || ':' || n) || ']' AS counts FROM (SELECT frame, label, count(*) AS n, min(pos) AS first FROM ({OBJECTS_SQL}) GROUP BY ALL) GROUP BY frame"
 
@@ -273,7 +273,7 @@ def g9(spark, sf):
     return rel.majority(c, "conv_id", "lang", "turn")
 
 
-# ---- ordered operators -----------------------------------------------------------------------------------------
+# ---- ordered operators
 
 
 @query("w1_changed_frames", f"""WITH h AS ({HASH_SQL}), d AS (SELECT video, frame_idx, list_sum(list_transform(list_zip(bits, lag(bits) OVER (PARTITION BY video ORDER BY frame_idx)), lambda p: (p[1] <> p[2])::INT))::BIGINT AS distance, count(*) OVER (PARTITION BY video) AS n, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS r FROM h)
@@ -320,7 +320,7 @@ def set_unselected(spark, sf):
     return frames(spark, sf).select("video", "frame_idx").join(set_union(spark, sf), ["video", "frame_idx"], "left_anti")
 
 
-# ---- retrieval -------------------------------------------------------------------------------------------------
+# ---- retrieval
 
 _FLAG = _laps("SELECT vec_id, 0 AS g, embedding, round(list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) > 0.15", "g", "vec_id", 0.97, 2)
 
