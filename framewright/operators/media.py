@@ -200,7 +200,7 @@ def video_patches(frames: DataFrame, video: str, index: str, image: str, **optio
     place = place.withColumn("frames", F.count(F.lit(1)).over(Window.partitionBy("video"))).select("video", "index", "place", "h0", "w0", "frames")
     paired = f.join(place, ["video", "index"]).withColumn("pair", F.floor(F.col("place") / 2))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
         first = pdf.iloc[0]
         p, (_, gh, gw) = px.patches_of([image_array(r) for r in pdf["image"]], like=(int(first["h0"]), int(first["w0"])), **options)
@@ -309,7 +309,7 @@ def _by_item(frames: DataFrame, key: str, index: str, vec: str, kernel: Callable
     """Order-dependent loops over one item's frames; items run in parallel, and one must fit into a worker."""
     names = [c.split()[0] for c in columns.split(", ")]
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
         x = np.stack(pdf[vec].to_numpy()).astype(np.float32)
         rows = kernel(x, pdf)
@@ -326,7 +326,7 @@ def scene_intervals(frames: DataFrame, query: list[float], budget: int, key: str
 def merged_intervals(intervals: DataFrame, frames: DataFrame, key: str = "video", index: str = "frame_idx", score: str = "score", gap: int = 30, alike: float = 0.015) -> DataFrame:
     """Union of near intervals with like means; the intervals of an item meet its scores in one task."""
 
-    def run(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         sims = b.sort_values(index)[score].to_numpy()
         a = a.sort_values("rank")
         rows = kf.merge_intervals(list(zip(a["left"], a["right"])), sims, gap, alike) if len(a) else []
@@ -346,7 +346,7 @@ def keyframes(frames: DataFrame, query: list[float], budget: int, method: str =
 def adaptive_frames(frames: DataFrame, total: int = 24, key: str = "video", index: str = "frame_idx", score: str = "score", **options) -> DataFrame:
     """Frames by adaptive halving with shared quotas."""
 
-    def run(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s = pdf.sort_values(index)[score].to_numpy()
         return pd.DataFrame([(k[0], int(i)) for i in kf.adaptive_segments(s, total, **options)], columns=[key, "frame_idx"])
 
@@ -364,16 +364,17 @@ def prefix_budget(parts: DataFrame, key: str, order: str, count: str, budget: in
 # ---- token compression
 
 
-def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 8192, eps: float | None = None) -> DataFrame:
+def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 8192, eps: float | None = None, per_frame: int | None = None) -> DataFrame:
     """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of more than ``limit`` tokens are left as they are.
 
+    Videos are compressed frame by frame first: ``frames`` is the number of frames of each, or ``per_frame`` that of a frame's tokens.
     With ``eps`` the components are found from sampled anchors, as in ``token_components``.
     """
 
     def kernel(x: np.ndarray, _) -> list:
         if cp.gated(len(x), limit):
             return [(i, v.tolist()) for i, v in enumerate(x)]
-        c = cp.compress_image(x, tau, eps) if frames is None else cp.compress_video(x, frames, tau, eps)
+        c = cp.compress_image(x, tau, eps) if not (frames or per_frame) else cp.compress_video(x, frames or -(-len(x) // per_frame), tau, eps)
         c = c if ratio is None else cp.to_exact(c, cp.target_size(len(x), ratio), tau)
         return [(i, v.tolist()) for i, v in enumerate(c)]
 

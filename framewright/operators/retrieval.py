@@ -2,38 +2,69 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .relations import adjacent_dedup, dot
 from .sampling import rerank
 
-#: Queries of one request that may be sent to every task: 4096 vectors are a few megabytes.
-MOST_QUERIES = 4096
+#: Numbers of the query vectors that go with one pass over the items: 64 MB.
+MOST_NUMBERS = 8 << 20
 
 
 def range_search(items: DataFrame, queries: DataFrame, vec: str, query_id: str, query_vec: str, threshold: float = 0.25) -> DataFrame:
-    """Items with an inner product above ``threshold`` (strictly) with a query.
+    """Items with an inner product above ``threshold`` (strictly) with a query of their dimension, in double precision.
 
-    The stated queries go to the tasks as one array literal-sized row and are compared in blocks of items as these are read: the items are neither shuffled
-    nor multiplied beyond their hits. More than ``MOST_QUERIES`` queries are answered in several passes over the items.
+    The stated queries go to the tasks as matrices and are compared with the items' batches by matrix products: the items are read once and neither shuffled
+    nor multiplied beyond their hits. Queries of more than ``MOST_NUMBERS`` numbers are answered in several passes over the items, by a hash of the whole query row, so that
+    many queries of one identifier are spread. Null vectors, and vectors that hold nulls, hit nothing.
     """
-    spark = items.sparkSession
-    few = queries.select(F.col(query_id).alias("q"), F.col(query_vec).alias("qv")).limit(MOST_QUERIES + 1)
-    packed = few.agg(F.collect_list(F.struct("q", "qv")).alias("qs"))
-    n = packed.select(F.size("qs")).first()[0]
-    if n > MOST_QUERIES:
-        parts = -(-queries.count() // MOST_QUERIES)
-        out = None
-        for p in range(parts * 2):
-            part = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts * 2)) == p)
-            one = range_search(items, part, vec, query_id, query_vec, threshold)
-            out = one if out is None else out.unionByName(one)
-        return out
-    qs = packed.first()["qs"]
-    one = spark.createDataFrame([(qs,)], packed.schema)
-    scored = items.join(F.broadcast(one)).withColumn("hit", F.explode(F.filter(F.transform("qs", lambda q: F.struct(q["q"].alias("q"), dot(F.col(vec), q["qv"]).alias("score"))), lambda h: h["score"] > threshold)))
-    return scored.select(*[c for c in items.columns], F.col("hit.q").alias(query_id), F.col("hit.score").alias("score"))
+    stated = queries.select(F.col(query_id).alias("q"), F.col(query_vec).cast("array<double>").alias("qv")).filter("qv is not null and not exists(qv, x -> x is null)")
+    numbers = stated.agg(F.coalesce(F.sum(F.size("qv")), F.lit(0))).first()[0]
+    passes, out = max(1, -(-numbers // MOST_NUMBERS)), None
+    for p in range(passes):
+        part = stated if passes == 1 else stated.filter(F.pmod(F.xxhash64("q", "qv"), F.lit(passes)) == p)
+        one = _search(items, part.toArrow(), vec, query_id, threshold)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _search(items: DataFrame, stated: pa.Table, vec: str, query_id: str, threshold: float) -> DataFrame:
+    by: dict[int, tuple[list, np.ndarray]] = {}
+    lengths = np.array(pc.list_value_length(stated["qv"]).to_pylist(), dtype=np.int64)
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        own = stated.filter(pa.array(lengths == d))
+        by[d] = (own["q"].combine_chunks(), np.array(own["qv"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, d))
+    at = items.columns.index(vec)
+    schema = StructType([*items.schema.fields, StructField(query_id, from_arrow_type(stated.schema.field("q").type)), StructField("score", DoubleType())])
+    names = schema.fieldNames()
+
+    def hits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column(at)
+        size = np.array(pc.list_value_length(column).fill_null(-1))
+        for d, (ids, matrix) in by.items():
+            rows = np.flatnonzero(size == d)
+            flat = column.take(pa.array(rows)).flatten()
+            x = np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, d)
+            for lo in range(0, len(rows), 512):  # nulls have become NaN, which is above nothing
+                score = x[lo : lo + 512] @ matrix.T
+                i, j = np.nonzero(score > threshold)
+                if len(i):
+                    took = batch.take(pa.array(rows[lo + i]))
+                    yield pa.RecordBatch.from_arrays([*took.columns, ids.take(pa.array(j)), pa.array(score[i, j])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from hits(b)
+
+    return items.mapInArrow(run, schema)
 
 
 def retrieve_and_rerank(docs: DataFrame, query: Column, key: str, index: str, vec: str, text: str | None = None, least: int = 5, threshold: float = 0.25, near: float = 0.97, laps: int = 2, k: int = 10, score: str = "score") -> DataFrame:
@@ -81,13 +112,22 @@ def relation(a: Column, b: Column) -> Column:
     )
 
 
-def describe(objects: DataFrame, pairs: DataFrame, counts: DataFrame, frame: str, pos: str, label: str, box: str, width: int, height: int) -> DataFrame:
-    """``label[id]@region | a @relation_of b | Count:[...]`` for each frame."""
-    places = objects.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(pos, F.format_string("%s[%d]@%s", F.col(label), F.col(pos), region(F.col(box), width, height)).alias("t")))).alias("p"))
-    rel = pairs.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(f"{pos}_a", f"{pos}_b", F.format_string("%s[%d] @%s_of %s[%d]", F.col(f"{label}_a"), F.col(f"{pos}_a"), F.col("relation"), F.col(f"{label}_b"), F.col(f"{pos}_b")).alias("t")))).alias("r"))
-    texts = lambda c: F.transform(c, lambda x: x["t"])
-    joined = places.join(rel, frame, "left").join(counts, frame, "left")
-    return joined.select(frame, F.concat_ws(" | ", F.array_join(texts(F.col("p")), " | "), F.array_join(texts(F.col("r")), " | "), F.col("counts")).alias("description"))
+def describe(objects: DataFrame, frame: str, pos: str, label: str, box: str, width: int, height: int) -> DataFrame:
+    """``label[id]@region | a @relation_of b | Count:[a:2, b:1]`` for each frame, counts in order of first appearance.
+
+    One shuffle brings a frame's objects together; pairs and counts are expressions over their list.
+    """
+    listed = objects.groupBy(frame).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(label).alias("label"), F.col(box).alias("box")))).alias("o"))
+    named = lambda x: F.format_string("%s[%d]", x["label"], x["pos"])
+    texts = lambda a: F.transform(F.array_sort(a), lambda x: x["t"])
+    places = texts(F.transform("o", lambda x: F.struct(x["pos"].alias("a"), F.concat(named(x), F.lit("@"), region(x["box"], width, height)).alias("t"))))
+    pair = lambda a, b: F.struct(a["pos"].alias("a"), b["pos"].alias("b"), F.concat(named(a), F.lit(" @"), relation(a["box"], b["box"]), F.lit("_of "), named(b)).alias("t"))
+    later = lambda a: F.filter("o", lambda b: b["pos"] > a["pos"])
+    pairs = texts(F.flatten(F.transform("o", lambda a: F.transform(later(a), lambda b: pair(a, b)))))
+    labels = F.array_distinct(F.transform("o", lambda x: x["label"]))
+    counts = F.transform(labels, lambda v: F.concat_ws(":", v, F.size(F.filter("o", lambda x: x["label"] == v)).cast("string")))
+    text = F.concat_ws(" | ", F.array_join(places, " | "), F.when(F.size(pairs) > 0, F.array_join(pairs, " | ")), F.concat(F.lit("Count:["), F.array_join(counts, ", "), F.lit("]")))
+    return listed.select(frame, text.alias("description"))
 
 
 # ---- prompts and keywords

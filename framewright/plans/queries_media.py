@@ -278,14 +278,14 @@ def k3(spark, sf):
 
 
 def _blocks(spark, sf):
-    """Every third block of ten frames as an interval."""
-    f = frames(spark, sf).withColumn("rank", F.floor(F.col("frame_idx") / 10).cast("int")).filter("rank % 3 < 2")
+    """Each block of ten frames as an interval."""
+    f = frames(spark, sf).withColumn("rank", F.floor(F.col("frame_idx") / 10).cast("int"))
     return f.groupBy("video", "rank").agg(F.min("frame_idx").cast("int").alias("left"), F.max("frame_idx").cast("int").alias("right"))
 
 
 @query(
     "k4_merge_intervals",
-    f"""WITH RECURSIVE f AS ({FRAMES_SQL}), b AS (SELECT video, frame_idx // 10 AS rank, min(frame_idx) AS lo, max(frame_idx) AS hi, avg(score) AS s FROM f WHERE frame_idx // 10 % 3 < 2 GROUP BY ALL),
+    f"""WITH RECURSIVE f AS ({FRAMES_SQL}), b AS (SELECT video, frame_idx // 10 AS rank, min(frame_idx) AS lo, max(frame_idx) AS hi, avg(score) AS s FROM f GROUP BY ALL),
  e AS (SELECT a.video, a.rank AS x, b.rank AS y FROM b a JOIN b ON a.video = b.video AND a.rank <> b.rank AND greatest(a.lo, b.lo) <= least(a.hi, b.hi) + 5 AND abs(a.s - b.s) < 0.03),
  c AS (SELECT video, rank AS x, rank AS y FROM b UNION SELECT c.video, c.x, e.y FROM c JOIN e ON c.video = e.video AND c.y = e.x), r AS (SELECT video, x, min(y) AS root FROM c GROUP BY ALL)
  SELECT r.video, min(b.lo)::INT AS left, max(b.hi)::INT AS right FROM r JOIN b ON r.video = b.video AND r.x = b.rank GROUP BY r.video, r.root""",
@@ -360,8 +360,10 @@ def c6(spark, sf):
 
 @query("c5_compress_video")
 def c5(spark, sf):
-    f = frames(spark, sf).withColumn("n", F.expr("count(1) over (partition by video)")).filter("frame_idx < floor(n / 4) * 4")
-    c = m.compress_tokens(f, "video", "frame_idx", tau=0.3, frames=4)
+    """Each vector's four quarters are the four tokens of a frame."""
+    parts = F.transform(F.array(*map(F.lit, range(4))), lambda j: F.slice("embedding", j * 16 + 1, 16))
+    f = frames(spark, sf).select("video", "frame_idx", F.posexplode(parts).alias("j", "embedding")).withColumn("token", F.col("frame_idx") * 4 + F.col("j"))
+    c = m.compress_tokens(f, "video", "token", tau=0.6, per_frame=4)
     return c.select("video", "center", F.round(F.element_at("vec", 1), 6).alias("v0"))
 
 

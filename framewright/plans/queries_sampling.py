@@ -371,6 +371,4 @@ def r9(spark, sf):
  SELECT a.frame, concat_ws(' | ', a.t, b.t, c.counts) AS description FROM a LEFT JOIN b ON a.frame = b.frame LEFT JOIN ({_G1}) c ON a.frame = c.frame""",
 )
 def r11(spark, sf):
-    o = objects(spark, sf)
-    pairs = rel.object_pairs(o, "frame", "pos", ["box", "label"]).withColumn("relation", ret.relation(F.col("box_a"), F.col("box_b")))
-    return ret.describe(o, pairs, rel.label_counts(o, "frame", "label", "pos"), "frame", "pos", "label", "box", 640, 480)
+    return ret.describe(objects(spark, sf), "frame", "pos", "label", "box", 640, 480)

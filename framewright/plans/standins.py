@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def query_vector(spark: SparkSession, sf: str) -> DataFrame:
     """One row: the vector of vec_id 0 (the smallest identifier)."""
-    return table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("qv"))
+    return table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("qv")).limit(1)
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:

@@ -63,7 +63,7 @@ def decode_video(frames_wanted: DataFrame, decoder: Callable[[str, list[int]], I
     before, so that other groups are never opened; a wanted frame that the decoder doesn't give fails the task.
     """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wanted = sorted(set(pdf[index].tolist()))
         rows = [(key[0], int(i), float(t), image_value(x, key[0])) for i, t, x in decoder(key[0], wanted)]
         if sorted(r[1] for r in rows) != wanted:

@@ -389,6 +389,18 @@ def test_compression_values(spark):
         assert np.allclose(video[v], back([c[p].mean(axis=0) for p in parts(c, 0.3)], y), atol=1e-9)
 
 
+def test_video_compression_query(spark):
+    data, _ = videos(spark)
+    got = {}
+    for r in QUERIES["c5_compress_video"](spark, SF).orderBy("video", "center").collect():
+        got.setdefault(r.video, []).append(r.v0)
+    for v, (x, _) in data.items():
+        y = x.astype(np.float64).reshape(-1, 16)
+        c = np.array([y[4 * i : 4 * i + 4][p].mean(axis=0) for i in range(len(x)) for p in parts(y[4 * i : 4 * i + 4], 0.6)])
+        want = [round(float(w[0]), 6) for w in back([c[p].mean(axis=0) for p in parts(c, 0.6)], y)]
+        assert np.allclose(got[v], want, atol=2e-6), v
+
+
 def test_blocked_adjacency(spark):
     x = np.random.default_rng(4).normal(size=(70, 3))
     x[5] = 0

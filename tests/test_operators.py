@@ -138,13 +138,20 @@ def test_zip_strict_raises(spark):
 
 
 def test_range_search_in_passes(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "MOST_QUERIES", 4)
+    monkeypatch.setattr(retrieval, "MOST_NUMBERS", 200)
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     got = {(r.vec_id, r.q) for r in retrieval.range_search(e, q, "embedding", "q", "qv").select("vec_id", "q").collect()}
     x = np.array([r.embedding for r in e.orderBy("vec_id").collect()], dtype=np.float64)
     want = {(i, j) for j in range(0, len(x), 50) for i in range(len(x)) if x[i] @ x[j] > 0.25}
     assert got == want
+    # Any number of queries under one identifier, or under none; other dimensions, nulls and empty tables.
+    same = q.withColumn("q", F.lit(None).cast("long"))
+    assert retrieval.range_search(e, same, "embedding", "q", "qv").count() == len(want)
+    odd = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [None, 9.0]), (4, [3.0])], "i int, v array<double>")
+    got = retrieval.range_search(odd, odd.select(F.col("i").alias("q"), F.col("v").alias("qv")), "v", "q", "qv")
+    assert sorted((r.i, r.q, r.score) for r in got.collect()) == [(1, 1, 2.0), (4, 4, 9.0)]
+    assert retrieval.range_search(odd, odd.filter("i > 9").select(F.col("i").alias("q"), F.col("v").alias("qv")), "v", "q", "qv").count() == 0
 
 
 def test_sampling_golden_values(spark):
