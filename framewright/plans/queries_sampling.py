@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import relations as rel
 from ..operators import retrieval as ret
 from ..operators import sampling as smp
+from ..sources import media as src
 from .catalog import query
+from .sql import register
 from .standins import FRAMES_SQL, HASH_SQL, OBJECTS_SQL, POINTS_SQL, SPANS_SQL, frames, hashes, objects, points, query_vector, spans, table
 
 _P = "SELECT p_partkey, {} AS idx FROM part"
@@ -372,3 +374,29 @@ def r9(spark, sf):
 )
 def r11(spark, sf):
     return ret.describe(objects(spark, sf), "frame", "pos", "label", "box", 640, 480)
+
+
+@query(
+    "s5_wanted_frames",
+    """WITH v AS (SELECT p_partkey, p_size + 3 AS n, p_partkey % 3 AS kind FROM part), l AS (SELECT p_partkey, unnest([n - 1, 0, n // 2, 0]) AS i FROM v WHERE kind = 0),
+ e AS (SELECT p_partkey, CASE WHEN k = 1 THEN 0 ELSE j * (n - 1) // greatest(k - 1, 1) END AS i FROM (SELECT *, unnest(range(0, k)) AS j FROM (SELECT *, CASE WHEN kind = 1 THEN 1 ELSE 4 END AS k FROM v WHERE kind > 0)))
+ SELECT DISTINCT p_partkey, CAST(i AS BIGINT) AS frame_idx FROM (SELECT * FROM l UNION ALL SELECT * FROM e)""",
+)
+def s5(spark, sf):
+    """A third of the videos asks for a list (which wins over its number), the others for one frame or four."""
+    v = table(spark, sf, "part").select("p_partkey", (F.col("p_size") + 3).cast("long").alias("n"), (F.col("p_partkey") % 3).alias("kind"))
+    v = v.withColumn("listed", F.when(F.col("kind") == 0, F.array(F.col("n") - 1, F.lit(0).cast("long"), F.floor(F.col("n") / 2), F.lit(0).cast("long"))))
+    v = v.withColumn("k", F.when(F.col("kind") == 0, 2).when(F.col("kind") == 1, 1).otherwise(4))
+    return src.wanted_frames(v, "n", "listed", "k").select("p_partkey", "frame_idx")
+
+
+@query(
+    "sql_functions",
+    """SELECT p_partkey, p_size, printf('%02d:%02d:%02d', p_partkey * 37 // 3600, p_partkey * 37 % 3600 // 60, p_partkey * 37 % 60) AS clock, greatest(1, CAST(ceil(p_size * 0.3::DOUBLE) AS BIGINT)) AS target, i
+ FROM (SELECT *, unnest(range(greatest(0, p_size - 2), least(29, p_size + 2) + 1)) AS i FROM part)""",
+)
+def sql_functions(spark, sf):
+    """Scalar and table functions by their SQL names."""
+    register(spark)
+    table(spark, sf, "part").createOrReplaceTempView("fw_part")
+    return spark.sql("SELECT p_partkey, p_size, fw_clock(p_partkey * 37D) AS clock, fw_compress_target(p_size, 0.3D) AS target, s.i FROM fw_part, LATERAL fw_span(p_size, 2, 30) s")

@@ -195,6 +195,62 @@ def test_evaluation_file_and_cache(spark, tmp_path):
     assert spark.read.parquet(path).count() == 3
 
 
+def test_wanted_frames(spark):
+    rows = [(1, 10, [7, 2, 2], 3), (2, 9, None, 4), (3, 9, [], 1), (4, 5, None, 5)]
+    v = spark.createDataFrame(rows, "id int, n long, listed array<long>, k int")
+    got = {}
+    for r in src.wanted_frames(v, "n", "listed", "k").collect():
+        got.setdefault(r.id, []).append(r.frame_idx)
+    assert got == {1: [2, 7], 2: [0, 2, 5, 8], 3: [0], 4: [0, 1, 2, 3, 4]}
+    for listed, k, why in (([10], None, "outside"), ([-1], None, "outside"), (None, None, "neither"), (None, -1, "neither"), (None, 11, "fit"), (None, 0, "fit")):
+        one = spark.createDataFrame([(1, 10, listed, k)], "id int, n long, listed array<long>, k int")
+        with pytest.raises(Exception, match=why):
+            src.wanted_frames(one, "n", "listed", "k").collect()
+
+
+def test_extraction_cache_is_locked_and_kept_by_rate(spark, tmp_path):
+    items = spark.createDataFrame([(b"a",), (b"b",), (b"a",)], "content binary")
+    keyed = [items.select(src.frame_cache_key(F.col("content"), fps).alias("k"), "content") for fps in (1, 2.5)]
+    assert keyed[0].union(keyed[1]).select("k").distinct().count() == 4
+    path, calls = str(tmp_path / "cache"), []
+
+    def compute(todo):
+        calls.append(todo.count())
+        assert os.path.exists(path + ".lock")
+        return todo.select("k", F.length("content").alias("v"))
+
+    for k in (keyed[0], keyed[0], keyed[1]):
+        assert src.cached(k, path, "k", compute).count() == 2
+    assert calls == [2, 0, 2] and not os.path.exists(path + ".lock")
+    open(path + ".lock", "w").close()  # another job's
+    with pytest.raises(TimeoutError):
+        src.cached(keyed[0], path, "k", compute, wait=0.5)
+    assert src.cached(keyed[0], path, "k", compute, wait=0.5, stale=-1).count() == 2  # a dead job's
+
+
+def test_number_of_audio_files(spark, tmp_path):
+    from framewright.plans.queries_media import wav_bytes
+
+    for i in range(3):
+        (tmp_path / f"{i}.wav").write_bytes(wav_bytes(b"\0\1" * 8, 8000) if i else b"broken")
+    with pytest.raises(MediaError, match="more than"):
+        src.read_audio(spark, str(tmp_path), most_files=2)
+    rows = src.read_audio(spark, str(tmp_path), most_files=3, permissive=True).select("audio._error", "audio.sample_rate").collect()
+    assert sorted((r.sample_rate or 0, r._error is None) for r in rows) == [(0, False), (8000, True), (8000, True)]
+
+
+def test_sql_names(spark):
+    from framewright.plans import sql
+
+    names = sql.register(spark)
+    assert len(names) == len(set(names)) >= 13
+    src.images_from_arrays(spark, {"a": np.arange(20 * 30 * 3, dtype=np.uint8).reshape(20, 30, 3)}).createOrReplaceTempView("pictures")
+    r = spark.sql("SELECT fw_crop(image, 2, 3, 11, 12) AS c, fw_resize(image, 15, 10).width AS w, fw_to_tensor(image).shape AS s FROM pictures").first()
+    assert (r.c.height, r.c.width, r.w, list(r.s)) == (11, 12, 15, [1, 3, 20, 30])
+    assert spark.sql("SELECT fw_dot(array(1D, 2D), array(3D, 4D)), fw_clock(3661.9D), fw_pcm16(-32768D), fw_crop_offset(0.5D, 11, 10)").first()[:] == (11.0, "01:01:01", -1.0, 1)
+    assert [r.i for r in spark.sql("SELECT i FROM fw_even_frames(9, 4) ORDER BY j").collect()] == [0, 2, 5, 8]
+
+
 def test_video_decoder_plug_in(spark):
     wanted = spark.createDataFrame([("v", i, i // 10 * 10) for i in (3, 7, 25)], "path string, frame_idx int, key_idx int")
     decode = lambda p, ids: ((i, i / 10, np.full((12, 10, 3), i, np.uint8)) for i in ids)
