@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most`` rows (of a few bytes each); a larger one is left to Spark's joins."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -106,3 +112,47 @@ def one_blas_thread() -> None:
             if hasattr(library, name):
                 getattr(library, name)(1)
                 break
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a worker process keeps from task to task under ``key``; one operator's at a time, so that a process that serves several stages doesn't hold them all."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def task(run: Callable) -> Callable:
+    """``run`` over batches, in one thread, giving freed memory back to the system after each batch and at the end: an executor's processes outlive their tasks
+    and share its memory with the JVM."""
+
+    def work(batches: Iterator) -> Iterator:
+        one_blas_thread()
+
+        def fed() -> Iterator:
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
+        try:
+            yield from run(fed())
+        finally:
+            give_back()
+
+    return work
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which worker processes otherwise hold for as long as they live."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

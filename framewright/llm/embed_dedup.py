@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, hashed_sample, one_blas_thread, partitions, salted_left_join
+from .common import durable, hashed_sample, partitions, salted_left_join, task
 from .components import connected_components
 
 BLOCK, INTERVAL, AXES, BOXED, FAN, SAMPLE = 256, 65_536, 8, 16, 4, 20_000
@@ -98,7 +98,6 @@ class _Axes:
 
 def _cells(axes: _Axes, eps: float, grid: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_blas_thread()
         for b in batches:
             dims, raw = b.column(3).to_numpy(), b.column(1).to_pylist()
             cells = np.zeros((b.num_rows, grid), np.int32)
@@ -119,7 +118,6 @@ def _blocks(axes: _Axes, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        one_blas_thread()
         part, interval, held, used, room, seq = TaskContext.get().partitionId(), -1, [], 0, 0, 0
         before = None
 
@@ -274,7 +272,6 @@ def _join_intervals(threshold: float, limit: float) -> Callable:
     """Rows sorted by pair of intervals: the links of each pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_blas_thread()
         pair, dim, sides = None, 0, (_Side(), _Side())
 
         def work() -> Iterator[pa.RecordBatch]:
@@ -306,7 +303,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """
     spark = vectors.sparkSession
     eps = max(1e-6, float(np.sqrt(max(0.0, 2 - 2 * threshold))))
-    rows = durable(vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).mapInArrow(_clean, "vec_id long, key binary, vec binary, dim int"))
+    rows = durable(vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).mapInArrow(task(_clean), "vec_id long, key binary, vec binary, dim int"))
     members = rows.filter("vec_id is not null and key is not null")
     distinct = members.groupBy("key").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.min("vec").alias("vec"), F.first("dim").alias("dim"))
     distinct = durable(distinct.select("rep", "vec", "weight", "dim", "key"))
@@ -318,8 +315,8 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     # Pairs of intervals are the tasks: as many intervals as give about one pair for each shuffle partition, more if intervals would grow too large.
     parts = max(-(-total // interval), min(int(np.ceil(np.sqrt(2 * partitions(spark)))), -(-total // (4 * block))), 1)
     coords, limit = boxed + 2, eps * eps + 1e-9
-    celled = distinct.select("rep", "vec", "weight", "dim").mapInArrow(_cells(by, eps, axes), "rep long, vec binary, weight long, dim int, cell array<int>")
-    blocks = durable(celled.repartitionByRange(parts, "dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep").mapInArrow(_blocks(by, block), "node long, seq long, dim int, ids binary, weights binary, vecs binary, lo array<double>, hi array<double>"))
+    celled = distinct.select("rep", "vec", "weight", "dim").mapInArrow(task(_cells(by, eps, axes)), "rep long, vec binary, weight long, dim int, cell array<int>")
+    blocks = durable(celled.repartitionByRange(parts, "dim", "cell", "rep").sortWithinPartitions("dim", "cell", "rep").mapInArrow(task(_blocks(by, block)), "node long, seq long, dim int, ids binary, weights binary, vecs binary, lo array<double>, hi array<double>"))
     pairs = durable(_near_intervals(blocks, coords, limit, parts))
     # A pair asks for the blocks of either interval that are near the other's box.
     asked = [pairs.select("a", "b", F.lit(s).alias("side"), F.col(own).alias("want"), F.col(other + "lo").alias("plo"), F.col(other + "hi").alias("phi")) for s, own, other in ((0, "a", "b"), (1, "b", "a"))]
@@ -329,7 +326,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     tasks = max(1, min(parts * (parts + 1) // 2, 8 * partitions(spark)))
     sent = asked.join(blocks, F.col("want") == F.col("node")).filter(_gap("", "p") <= limit).select("a", "b", "side", "seq", "dim", "ids", "weights", "vecs", "lo", "hi")
     sent = sent.repartitionById(tasks, F.pmod(place, F.lit(tasks)).cast("int")).sortWithinPartitions("a", "b", "side", "seq")
-    found = durable(sent.mapInArrow(_join_intervals(threshold, limit), "rep long, root long, n long"))
+    found = durable(sent.mapInArrow(task(_join_intervals(threshold, limit)), "rep long, root long, n long"))
     n = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = distinct.select("rep", "key", "weight").join(n, "rep", "left").join(comps, F.col("rep") == F.col("node"), "left")

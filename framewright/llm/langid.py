@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, one_blas_thread, share_below
+from .common import checked_broadcast, durable, fresh, give_back, one_blas_thread, share_below
 
 #: Families of ISO 639-1 codes. Languages that aren't listed form a family of their own.
 FAMILIES = {
@@ -186,11 +186,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     doc, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     rows = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.xxhash64(doc).alias("h"))
-    # One row for each language; the join is Spark's to plan, as the number of labels isn't bounded.
-    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    sizes = checked_broadcast(durable(rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))))
     rows = rows.join(sizes, "l").filter(share_below(F.col("h"), F.lit(1.5 * per_lang) / F.col("n")))
     first = Window.partitionBy("l").orderBy("h", "i")
-    ids = rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("i").distinct()
+    ids = checked_broadcast(durable(rows.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_lang).select("i").distinct()))
     picked = docs.filter(lang.isNotNull() & ~held_out(doc)).select(doc.alias("i"), lang.cast("string").alias("l"), F.col(f"`{text_col}`").alias("t"))
     sample = picked.join(ids, "i", "left_semi").toPandas().sort_values(["l", "i", "t"])
     sample = sample[np.array([has_letter(t) for t in sample["t"]], dtype=bool)]
@@ -203,6 +202,7 @@ def predict_column(model: HierarchicalModel, text: Column) -> Column:
     @F.pandas_udf("struct<lang: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one_blas_thread()
+        give_back()
         for texts in batches:
             lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -210,6 +210,8 @@ def predict_column(model: HierarchicalModel, text: Column) -> Column:
                 part = known[at : at + 32]
                 lang[part], score[part] = model.predict([texts.iloc[i] for i in part])
             yield pd.DataFrame({"lang": lang, "score": score})
+            del texts
+            give_back()
 
     return run(text.cast("string"))
 

@@ -17,7 +17,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, durable
+from .common import WS_CHARS, durable, kept, task
 
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class CachedEncoder:
@@ -104,9 +103,8 @@ _SHOWN = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PR
 _TO_SPACE = str.maketrans({c: " " for c in WS_CHARS})
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, special_as_text: bool = False) -> CachedEncoder:
-    return CachedEncoder(path, special_as_text=special_as_text)
+    return kept(("encoder", path, special_as_text), lambda: CachedEncoder(path, special_as_text=special_as_text))
 
 
 def cut_points(length: int, capacity: int = CAPACITY, slack: float = 0.03) -> list[int]:
@@ -257,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     if fan_in != 64:
         raise ValueError("groups are of 64 workers at each level")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("worker"))
-    first = durable(rows.mapInArrow(_keep_rest_ids(tokenizer_path, capacity, slack, with_ids, end_id, special_as_text), PIECE_SCHEMA))
+    first = durable(rows.mapInArrow(task(_keep_rest_ids(tokenizer_path, capacity, slack, with_ids, end_id, special_as_text)), PIECE_SCHEMA))
     done = [first.filter("sequence_id is not null")]
     rest = first.filter("sequence_id is null")
     workers, level = (first.agg(F.max("worker")).first()[0] or 0) + 1, 1

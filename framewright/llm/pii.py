@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_blas_thread
+from .common import one_blas_thread, task
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -442,7 +442,7 @@ def _check(kind: int, s: str) -> bool:
     return _card_ok(s) if kind == 2 else _phone_ok(s) and ("(" in s or "+" in s or len(re.findall(r"[ .\-/]", s)) >= 2)
 
 
-# ---- labelled spans --------------------------------------------------------------------------------------------
+# ---- labelled spans
 
 
 def labelled_samples(n: int = 3000, seed: int = 23, length: int = 96) -> tuple[np.ndarray, np.ndarray]:
@@ -514,7 +514,7 @@ def default_model() -> Tagger:
     return t
 
 
-# ---- the operator ----------------------------------------------------------------------------------------------
+# ---- the operator
 
 
 def find_spans(texts: list[str | None], model: Tagger) -> list[tuple[list, list]]:
@@ -541,7 +541,6 @@ def detect_pii(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one_blas_thread()
         for b in batches:
             lo = 0
             while lo < b.num_rows:
@@ -555,7 +554,7 @@ def detect_pii(docs: DataFrame, model: Tagger | None = None, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "base", "added"])
 
     s = "array<struct<kind: string, start: bigint, end: bigint, text: string>>"
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"doc_id long, base {s}, added {s}")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(task(run), f"doc_id long, base {s}, added {s}")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, one_blas_thread, salted_left_join, share_below
+from .common import durable, fresh, kept, one_blas_thread, salted_left_join, share_below, task
 from .components import connected_components
 
 WORDS, BITS, SAMPLED, THRESHOLD = 5, 256, 64, 0.8
@@ -84,9 +83,8 @@ class Shingler:
         return np.unique(out)
 
 
-@lru_cache(maxsize=1)
 def shingler() -> Shingler:
-    return Shingler()
+    return kept(("shingler",), Shingler)
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
@@ -195,7 +193,7 @@ def oversized(rows: DataFrame, n: int, order: np.ndarray, base: int, held: int)
     256 or more; a bucket that isn't listed is only held in larger portions, so neither bound costs a pair."""
     share = max(1 / 256, min(1.0, (1 << 20) / max(1, n)))
     some = rows if share == 1 else rows.filter(share_below(F.xxhash64("rep"), F.lit(share)))
-    sizes = some.select("fp", F.lit(0).cast("long").alias("by")).mapInArrow(_bucket_sizes(order, base, False), "bucket long, by long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sizes = some.select("fp", F.lit(0).cast("long").alias("by")).mapInArrow(task(_bucket_sizes(order, base, False)), "bucket long, by long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     return {r.bucket: int(r.n / share) for r in sizes.filter(F.col("n") > held * share).orderBy(F.desc("n"), "bucket").limit(MOST_LARGE).collect()}
 
 
@@ -448,7 +446,7 @@ def _verified(sets: DataFrame, candidates: DataFrame, threshold: float, hub: int
     salted = durable(candidates.join(per, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("salt")))
     left = salted.select("a", "salt").distinct().join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a")
     met = salted.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b").join(left, ["a", "salt"])
-    return durable(met.select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a long, b long, jaccard double"))
+    return durable(met.select("a", "b", "sa", "sb").mapInArrow(task(_verify(threshold)), "a long, b long, jaccard double"))
 
 
 def _similar(x: list[np.ndarray], y: list[np.ndarray] | None, threshold: float, columns: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -537,7 +535,7 @@ def _largest_components(active: DataFrame, order: np.ndarray, base: int, large:
     if not large:
         return {}
     only = np.array(sorted(large), dtype=np.int64)
-    sizes = active.select("fp", "comp").mapInArrow(_bucket_sizes(order, base, True, only), "bucket long, by long, n long").groupBy("bucket", "by").agg(F.sum("n").alias("n"))
+    sizes = active.select("fp", "comp").mapInArrow(task(_bucket_sizes(order, base, True, only)), "bucket long, by long, n long").groupBy("bucket", "by").agg(F.sum("n").alias("n"))
     top = sizes.groupBy("bucket").agg(F.max_by("by", F.struct("n", "by")).alias("by"), F.max("n").alias("n"), F.sum("n").alias("total"))
     return {r.bucket: (r.by, max(1, -(-2 * r.n // held)), max(1, -(-2 * (r.total - r.n) // held))) for r in top.collect()}
 
@@ -552,26 +550,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are kept. ``held`` bounds the rows of a bucket that a task compares at once and changes no result but by the chance of the buckets. Identifiers are numbers (cast to long). Repeated rows share their class and each is returned. An identifier should name one text; of several, any stands for it. An empty table gives an empty result. Other columns are ignored.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    sketched = durable(rows.mapInArrow(_sketch, "doc_id long, shingle_set binary, fp binary"))
+    sketched = durable(rows.mapInArrow(task(_sketch), "doc_id long, shingle_set binary, fp binary"))
     reps = sketched.filter("shingle_set is not null and doc_id is not null").groupBy("shingle_set").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"))
     reps = durable(reps)
     n, limit = reps.count(), max_distance(threshold)
     tables, base = plan_tables(n, threshold)
     order = sampled_order(tables)
     # First pass: two partners a row and table at most, which name every row that has a partner. One partner of each row is verified and connects dense groups.
-    tabled = reps.select("rep", "fp").mapInArrow(_first_tables(order, base, oversized(reps, n, order, base, held), held), "rep long, fp binary, grp long, capped boolean")
-    first = durable(tabled.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(_first_pairs(limit, held), "a long, b long").distinct())
+    tabled = reps.select("rep", "fp").mapInArrow(task(_first_tables(order, base, oversized(reps, n, order, base, held), held)), "rep long, fp binary, grp long, capped boolean")
+    first = durable(tabled.repartition("grp").sortWithinPartitions("grp", "rep").mapInArrow(task(_first_pairs(limit, held)), "a long, b long").distinct())
     partners = first.select(F.col("a").alias("i")).unionByName(first.select(F.col("b").alias("i"))).distinct()
     # The texts are read again for the rows that have partners, once for all that follows.
-    sets = durable(rows.join(partners, rows.doc_id == partners.i, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_shingle_sets, "rep long, shingles binary"))
+    sets = durable(rows.join(partners, rows.doc_id == partners.i, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(task(_shingle_sets), "rep long, shingles binary"))
     tested = durable(first.filter("a <> b").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _verified(sets, tested, threshold)
     comps = connected_components(links.select("a", "b"))
     # Second pass: all pairs of those rows that aren't connected yet, whole buckets.
     active = durable(reps.join(partners, reps.rep == partners.i, "left_semi").join(comps, F.col("rep") == F.col("node"), "left").select("rep", "fp", F.coalesce("component", "rep").alias("comp")))
     large = _largest_components(active, order, base, oversized(active, active.count(), order, base, held), held)
-    tabled = active.mapInArrow(_second_tables(order, base, large), "rep long, fp binary, comp long, grp long, side long")
-    second = durable(tabled.repartition("grp").sortWithinPartitions("grp").mapInArrow(_cross_pairs(limit), "a long, b long, dense boolean").distinct())
+    tabled = active.mapInArrow(task(_second_tables(order, base, large)), "rep long, fp binary, comp long, grp long, side long")
+    second = durable(tabled.repartition("grp").sortWithinPartitions("grp").mapInArrow(task(_cross_pairs(limit)), "a long, b long, dense boolean").distinct())
     sparse, dense = durable(second.filter("not dense").select("a", "b").join(tested, ["a", "b"], "left_anti")), second.filter("dense").select("a", "b")
     more = [_verified(sets, sparse, threshold)] if not sparse.isEmpty() else []
     more += [_verified_dense(sets, active, dense, threshold)] if not dense.isEmpty() else []

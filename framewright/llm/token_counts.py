@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import kept, split_words, task
 
 MARK = "▁"
 #: Score of one fallback byte: rarer than any piece.
@@ -134,9 +134,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(("counter", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,4 +153,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 n, t, s = zip(*rows)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 1024), pa.array(n, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.float64())], names=["doc_id", "n_pretokens", "n_tokens", "log_prob"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, log_prob double")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(task(run), "doc_id long, n_pretokens long, n_tokens long, log_prob double")
