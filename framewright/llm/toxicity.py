@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import checked_broadcast, give_back, hashed_sample, one_blas_thread
 from .langid import HierarchicalModel, held_out
 from .langid import train as train_language
 
@@ -70,12 +70,14 @@ class ToxicityModel:
         self.default = 0.0
         self.language: HierarchicalModel | None = None
 
-    def features(self, texts: list[str | None]) -> tuple[np.ndarray, list, tuple]:
-        """Pooled responses (texts x filters, before the rectifier) and where each maximum lies."""
-        buckets, seq, starts = _encode(texts)
-        e = self.emb[buckets].sum(axis=1)
-        pooled, where = [], []
-        ends = np.r_[starts[1:], len(seq)]
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Pooled responses (texts x filters, before the rectifier)."""
+        return self._pool(*_encode(texts))[0]
+
+    def _pool(self, buckets: np.ndarray, seq: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        """Pooled responses of encoded texts, the responses at every position by width, and the words' embeddings."""
+        e, ends = self.emb[buckets].sum(axis=1), np.r_[starts[1:], len(seq)]
+        pooled, responses = [], []
         for conv in self.conv:
             w = len(conv)
             r = (e @ conv[0])[seq]
@@ -83,22 +85,50 @@ class ToxicityModel:
                 r[: len(seq) - j] += (e @ conv[j])[seq[j:]]
             for j in range(1, w):  # a window ends where its text does
                 r[ends - j] = -np.inf
-            top = np.maximum.reduceat(r, starts, axis=0)
-            pooled.append(top)
-            where.append((r, top))
-        return np.concatenate(pooled, axis=1) + self.bias, where, (buckets, seq, starts, ends, e)
+            pooled.append(np.maximum.reduceat(r, starts, axis=0))
+            responses.append(r)
+        return np.concatenate(pooled, axis=1) + self.bias, responses, e
+
+    def gradients(self, buckets: np.ndarray, seq: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
+        """Weighted mean logistic loss of encoded texts, its gradients by name, and by the words' embeddings (of each word's sum)."""
+        pooled, responses, e = self._pool(buckets, seq, starts)
+        h = np.maximum(pooled, 0)
+        z = h @ self.out + self.out0
+        loss = float((np.logaddexp(0, np.where(y > 0, -z, z)) * weight).mean())
+        d = ((1 / (1 + np.exp(-z)) - y) * weight / len(y)).astype(np.float32)
+        dh = np.outer(d, self.out) * (pooled > 0)
+        grads, de = {"out": h.T @ d, "bias": dh.sum(axis=0), "out0": d.sum()}, np.zeros_like(e)
+        text = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(seq)]))
+        for c, (conv, r) in enumerate(zip(self.conv, responses)):
+            part = dh[:, c * FILTERS : (c + 1) * FILTERS]
+            top = (pooled - self.bias)[:, c * FILTERS : (c + 1) * FILTERS]
+            # Where each maximum lies: of the positions that reach it, the first of each text and filter.
+            at, f = np.nonzero((r >= top[text] - 1e-6 * np.abs(top[text])) & (part != 0)[text])
+            _, first = np.unique(text[at] * FILTERS + f, return_index=True)
+            at, f = at[first], f[first]
+            g = part[text[at], f]
+            grads[f"c{c}"] = np.zeros_like(conv)
+            for j in range(len(conv)):
+                words = seq[at + j]
+                by_filter = np.zeros((FILTERS, DIM), np.float32)
+                np.add.at(by_filter, f, e[words] * g[:, None])
+                grads[f"c{c}"][j] = by_filter.T
+                np.add.at(de, words, conv[j][:, f].T * g[:, None])
+        return loss, grads, de
 
     def logits(self, texts: list[str | None]) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        pooled, _, _ = self.features(texts)
-        return (np.maximum(pooled, 0) @ self.out + self.out0).astype(np.float64)
+        return (np.maximum(self.features(texts), 0) @ self.out + self.out0).astype(np.float64)
 
     def fit(self, texts: list[str | None], y: np.ndarray, steps: int = 600, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
         """Adam on the logistic loss with classes of equal weight; embeddings are updated where the batch touches them. Whole epochs, ``steps`` batches or more."""
+        one_blas_thread()
         r = np.random.default_rng(seed)
         pos = max(1, int(y.sum()))
-        weight = np.where(y > 0, 0.5 / pos, 0.5 / max(1, len(y) - pos)) * len(y)
+        weight = (np.where(y > 0, 0.5 / pos, 0.5 / max(1, len(y) - pos)) * len(y)).astype(np.float32)
+        every, seq, starts = _encode(texts)
+        own = np.split(seq, starts[1:])
         params = {"out": self.out, "bias": self.bias, **{f"c{i}": c for i, c in enumerate(self.conv)}}
         m, v, n = {k: np.zeros_like(p) for k, p in params.items()}, {k: np.zeros_like(p) for k, p in params.items()}, 0
         acc = np.zeros(BUCKETS, dtype=np.float32)
@@ -106,28 +136,11 @@ class ToxicityModel:
             order = r.permutation(len(y))
             for at in range(0, len(y), batch):
                 rows = order[at : at + batch]
-                pooled, where, (buckets, seq, starts, ends, e) = self.features([texts[i] for i in rows])
-                h = np.maximum(pooled, 0)
-                z = h @ self.out + self.out0
-                d = ((1 / (1 + np.exp(-z)) - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-                dh = np.outer(d, self.out) * (pooled > 0)
-                grads = {"out": h.T @ d, "bias": dh.sum(axis=0)}
-                self.out0 -= np.float32(rate) * d.sum()
-                de = np.zeros_like(e)
-                for c, (conv, (resp, top)) in enumerate(zip(self.conv, where)):
-                    part, g = dh[:, c * FILTERS : (c + 1) * FILTERS], np.zeros_like(conv)
-                    for i in range(len(rows)):
-                        live = np.flatnonzero(part[i])
-                        if not len(live):
-                            continue
-                        pos_ = starts[i] + resp[starts[i] : ends[i]][:, live].argmax(axis=0)
-                        for j in range(len(conv)):
-                            q = pos_ + j
-                            ok = q < ends[i]
-                            words = seq[q[ok]]
-                            g[j][:, live[ok]] += e[words].T * part[i, live[ok]]
-                            np.add.at(de, words, (conv[j][:, live[ok]] * part[i, live[ok]]).T)
-                    grads[f"c{c}"] = g
+                words, local = np.unique(np.concatenate([own[i] for i in rows]), return_inverse=True)
+                begins = np.cumsum([0, *(len(own[i]) for i in rows[:-1])])
+                buckets = every[words]
+                _, grads, de = self.gradients(buckets, local, begins, y[rows], weight[rows])
+                self.out0 -= np.float32(rate) * grads["out0"]
                 n += 1
                 for k, p in params.items():
                     m[k] += 0.1 * (grads[k] - m[k])
@@ -189,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = ToxicityModel()
     if len(lab):
         ids = docs.sparkSession.createDataFrame([(int(i), int(y)) for i, y in zip(lab["i"], lab["y"])], "i long, y int")
-        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).join(F.broadcast(ids), "i").toPandas().sort_values(["i", "t"])
+        rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).join(checked_broadcast(ids), "i").toPandas().sort_values(["i", "t"])
         texts, y = rows["t"].tolist(), rows["y"].to_numpy().astype(np.float32)
         if lang_col:
             model.language = train_language(docs, id_col, text_col, lang_col, per_lang=200)
@@ -205,9 +218,13 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one_blas_thread()
+        give_back()
         for texts in batches:
             t = [x if isinstance(x, str) else None for x in texts]
             yield pd.Series(np.concatenate([model.scores(t[i : i + 64]) for i in range(0, len(t), 64)]) if t else np.zeros(0))
+            del texts, t
+            give_back()
 
     return run(text.cast("string"))
 
