@@ -12,16 +12,19 @@ import base64
 import gzip
 import hashlib
 import html
-import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import task
+
 EPOCH = "1970-01-01T00:00:00Z"
 RECORD = pa.schema([("page_id", pa.int64()), ("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_type", pa.string()), ("content_length", pa.int64()), ("block_digest", pa.string()), ("payload_digest", pa.string()), ("source_payload_digest", pa.string()), ("source_headers", pa.string()), ("block", pa.binary())])
 RECORD_SQL = "page_id long, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, payload_digest string, source_payload_digest string, source_headers string, block binary"
@@ -35,7 +38,7 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(map(str, parts)))}>"
 
 
-# ---- plain text ------------------------------------------------------------------------------------------------
+# ---- plain text
 
 _NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
 _TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
@@ -108,7 +111,7 @@ def page_parts(source: str) -> tuple[str, str, str, list[str]]:
     return "\n".join(x for x in lines if x), " ".join(html.unescape(" ".join(title)).split()), lang, links
 
 
-# ---- records ---------------------------------------------------------------------------------------------------
+# ---- records
 
 
 def _response(page: int | None, url: str, body: bytes, date: str) -> dict:
@@ -126,6 +129,44 @@ def split_http(block: bytes) -> tuple[str, bytes]:
     return "", block
 
 
+def _header(headers: str, name: str) -> str:
+    m = re.search(rf"(?im)^{name}[ \t]*:[ \t]*(.*)$", headers)
+    return m[1].strip().lower() if m else ""
+
+
+def _dechunked(body: bytes) -> bytes:
+    """A chunked body put together; what doesn't look like chunks, or is cut off, stays from there on as it is."""
+    out, pos = [], 0
+    while pos < len(body):
+        end = body.find(b"\r\n", pos)
+        size = body[pos : end if end >= 0 else pos].split(b";")[0].strip()
+        if not size or len(size) > 12 or not all(c in b"0123456789abcdefABCDEF" for c in size):
+            return b"".join(out) + body[pos:] if out or pos else body
+        n = int(size, 16)
+        if n == 0:
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        pos = end + 2 + n + 2
+    return b"".join(out)
+
+
+def entity(headers: str, body: bytes) -> bytes:
+    """The document of a response: transfer coding (chunked), then content codings (gzip, deflate) undone, the last one first. Crawlers often store bodies that are decoded
+    already under the old headers, so a body that isn't coded as its header says stays as it is; of a truncated one what can be decoded counts."""
+    if "chunked" in _header(headers, "transfer-encoding"):
+        body = _dechunked(body)
+    for coding in reversed([c.strip() for c in _header(headers, "content-encoding").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            try:
+                plain = zlib.decompressobj(bits).decompress(body)
+            except zlib.error:
+                continue
+            if plain or not body:
+                body = plain
+                break
+    return body
+
+
 def _charset(headers: str) -> str:
     m = re.search(r"(?im)^content-type:.*?charset=\"?([\w.:-]+)", headers)
     return m[1] if m else "utf-8"
@@ -134,10 +175,11 @@ def _charset(headers: str) -> str:
 def derivatives(r: dict) -> list[dict]:
     """The metadata and the conversion record of a response."""
     headers, body = split_http(r["block"])
+    document = entity(headers, body)
     try:
-        source = body.decode(_charset(headers), "replace")
+        source = document.decode(_charset(headers), "replace")
     except LookupError:
-        source = body.decode("utf-8", "replace")
+        source = document.decode("utf-8", "replace")
     text, title, lang, links = page_parts(source)
     payload = r["payload_digest"] or digest(body)
     meta_id, conv_id = record_id("metadata", r["record_id"]), record_id("conversion", r["record_id"])
@@ -168,30 +210,74 @@ def serialise(r: dict) -> bytes:
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + r["block"] + b"\r\n\r\n"
 
 
+class _Bytes:
+    """The bytes of a WARC file from ``pos`` on, decompressed member by member as far as they are asked for."""
+
+    def __init__(self, data: bytes, step: int = 1 << 20) -> None:
+        self.data, self.step, self.at = memoryview(data), step, 0
+        self.packed = data[:2] == b"\x1f\x8b"
+        self.plain, self.open = (bytearray(), None) if self.packed else (bytearray(data), None)
+        self.gone = 0  # bytes that were given up already
+
+    def more(self) -> bool:
+        """Decompress a further step; false at the end."""
+        if not self.packed or (self.at >= len(self.data) and self.open is None):
+            return False
+        if self.open is None:
+            if self.data[self.at : self.at + 2] != b"\x1f\x8b":
+                raise ValueError(f"no gzip member at byte {self.at}")
+            self.open = zlib.decompressobj(31)
+        part = self.data[self.at : self.at + self.step]
+        if not len(part):
+            raise ValueError("the last gzip member is cut off")
+        self.plain += self.open.decompress(part)
+        self.at += len(part) - len(self.open.unused_data)
+        if self.open.eof:
+            self.open = None
+        return True
+
+    def find(self, what: bytes) -> int:
+        from_ = 0
+        while (at := self.plain.find(what, from_)) < 0:
+            from_ = max(0, len(self.plain) - len(what))
+            if not self.more():
+                return -1
+        return at
+
+    def need(self, n: int) -> bool:
+        while len(self.plain) < n:
+            if not self.more():
+                return False
+        return True
+
+    def drop(self, n: int) -> None:
+        del self.plain[:n]
+        self.gone += n
+
+
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or compressed by record; what follows a broken record is given up with an error."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    pos, names = 0, {h.lower(): k for h, k in _HEADERS}
+    """Records of a WARC file, plain or compressed by record, one at a time; what follows a broken record is given up with an error."""
+    source, names = _Bytes(data), {h.lower(): k for h, k in _HEADERS}
     while True:
-        while data[pos : pos + 2] == b"\r\n":
-            pos += 2
-        if pos >= len(data):
+        while source.need(2) and source.plain[:2] == b"\r\n":
+            source.drop(2)
+        if not source.need(1):
             return
-        end = data.find(b"\r\n\r\n", pos)
-        if not data.startswith(b"WARC/", pos) or end < 0:
-            raise ValueError(f"no WARC record at byte {pos}")
+        start = source.need(5) and source.plain.startswith(b"WARC/")
+        end = source.find(b"\r\n\r\n") if start else -1
+        if end < 0:
+            raise ValueError(f"no WARC record at byte {source.gone}")
         r: dict = dict.fromkeys(RECORD.names)
-        for line in data[pos:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in bytes(source.plain[:end]).decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             if k.strip().lower() in names:
                 r[names[k.strip().lower()]] = v.strip()
         r["content_length"] = int(r["content_length"] or 0)
-        r["block"] = data[end + 4 : end + 4 + r["content_length"]]
-        if len(r["block"]) < r["content_length"]:
-            raise ValueError(f"the record at byte {pos} is cut off")
+        if not source.need(end + 4 + r["content_length"]):
+            raise ValueError(f"the record at byte {source.gone} is cut off")
+        r["block"] = bytes(source.plain[end + 4 : end + 4 + r["content_length"]])
+        source.drop(end + 4 + r["content_length"])
         yield r
-        pos = end + 4 + r["content_length"]
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
@@ -205,7 +291,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             yield _batch([_response(p, u or "", (h or "").encode("utf-8", "surrogatepass"), date) for p, u, h in zip(*(c.to_pylist() for c in b.columns))])
 
-    return pages.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(run, RECORD_SQL)
+    return pages.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")).mapInArrow(task(run), RECORD_SQL)
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -219,7 +305,7 @@ def derive(records: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 512):
                 yield _batch([d for r in b.slice(lo, 512).to_pylist() for d in derivatives(r)])
 
-    return records.filter("warc_type = 'response'").select(*RECORD.names).mapInArrow(run, RECORD_SQL)
+    return records.filter("warc_type = 'response'").select(*RECORD.names).mapInArrow(task(run), RECORD_SQL)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -236,11 +322,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD_SQL)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(task(run), RECORD_SQL)
 
 
 def write_warc(records: DataFrame, folder: str, compress: bool = True) -> DataFrame:
-    """Write one file for each partition into ``folder``, which all workers share; returns (file, records, bytes).
+    """Write one file for each partition into ``folder``, which all workers share: a path or the URI of a file system that Arrow knows (hdfs, s3, gs, file); returns (file, records, bytes).
 
     Files are written under another name and then renamed, so a task that is tried again replaces its file and a reader sees whole files only.
     """
@@ -249,16 +335,18 @@ def write_warc(records: DataFrame, folder: str, compress: bool = True) -> DataFr
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        name = f"{folder}/part-{ctx.partitionId():06d}.warc" + ".gz" * compress
-        tmp, n = f"{name}.{ctx.taskAttemptId()}.tmp", 0
-        os.makedirs(folder, exist_ok=True)
-        with open(tmp, "wb") as f:
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        name = f"{base}/part-{ctx.partitionId():06d}.warc" + ".gz" * compress
+        tmp, n, size = f"{name}.{ctx.taskAttemptId()}.tmp", 0, 0
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(tmp) as f:
             for b in batches:
                 for r in b.to_pylist():
                     raw = serialise(r)
-                    f.write(gzip.compress(raw, mtime=0) if compress else raw)
-                    n += 1
-        os.replace(tmp, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([os.path.getsize(name)])], names=["file", "records", "bytes"])
+                    raw = gzip.compress(raw, mtime=0) if compress else raw
+                    f.write(raw)
+                    n, size = n + 1, size + len(raw)
+        store.move(tmp, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], names=["file", "records", "bytes"])
 
-    return records.select(*RECORD.names).mapInArrow(run, "file string, records long, bytes long")
+    return records.select(*RECORD.names).mapInArrow(task(run), "file string, records long, bytes long")
