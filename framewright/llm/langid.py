@@ -47,7 +47,7 @@ UNDETERMINED = "und"
 BUCKETS = (1024, 4096, 8192)
 PER_LANG = 400
 #: Scores below which a text counts as not identified, and from which on a prediction replaces a label.
-LEAST, SURE = 0.35, 0.9
+LEAST, SURE = 0.27, 0.9
 _DIM = sum(BUCKETS)
 _LETTER = regex.compile(r"\p{L}").search
 
