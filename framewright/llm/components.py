@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star steps (Kiveris et al., 2014): each node hangs its larger, then its smaller
 neighbours under the smallest one it sees, until the edges are stars. A step groups by node with a minimum, which Spark
-combines before the shuffle, and joins that one row per node back, so that a hub's neighbours are never gathered in one place.
+combines before the shuffle, and joins that one row per node back: a hub's edges are streamed past its one row, never collected, and where they
+outgrow a task adaptive execution splits that side of the join.
 Every round is written to the checkpoint folder; neither links nor components reach the driver.
 """
 

@@ -306,34 +306,38 @@ class _Groups:
         self.batches, self.cut = batches, cut
 
     def __iter__(self) -> Iterator[tuple[list[np.ndarray], bool]]:
+        """(columns, whole): whole groups, or a portion of one that was cut (its last portion too)."""
         held: list[list[np.ndarray]] = []
+        broken = None  # the group that was cut last
+
+        def close() -> tuple[list[np.ndarray], bool]:
+            cols = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            return cols, cols[at][0] != broken
+
         for b in self.batches:
             if not b.num_rows:
                 continue
             cols = [b.column(0).to_numpy(zero_copy_only=False), np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint64).reshape(b.num_rows, -1)]
             cols += [b.column(i).to_numpy(zero_copy_only=False) for i in range(2, b.num_columns)]
-            names = b.schema.names
-            g = cols[names.index("grp")]
-            change = np.flatnonzero(g[1:] != g[:-1])
-            begins_anew = bool(held) and held[-1][names.index("grp")][-1] != g[0]
-            if held and (begins_anew or len(change)):
-                end = 0 if begins_anew else int(change[0]) + 1
-                if end:
-                    held.append([c[:end] for c in cols])
-                yield [np.concatenate(x) for x in zip(*held)], True
-                held, cols = [], [c[end:] for c in cols]
-                g = cols[names.index("grp")]
-                change = np.flatnonzero(g[1:] != g[:-1])
+            at = b.schema.names.index("grp")
+            if held and held[-1][at][-1] != cols[at][0]:
+                yield close()
+            change = np.flatnonzero(cols[at][1:] != cols[at][:-1]) + 1
+            if len(change) and (held or cols[at][0] == broken):  # the first group goes on from before
+                held.append([c[: change[0]] for c in cols])
+                yield close()
+                cols = [c[change[0] :] for c in cols]
+                change = change[1:] - change[0]
             if len(change):
-                end = int(change[-1]) + 1
-                yield [c[:end] for c in cols], True
-                cols = [c[end:] for c in cols]
+                yield [c[: change[-1]] for c in cols], True
+                cols = [c[change[-1] :] for c in cols]
             held.append(cols)
             if self.cut and sum(len(x[0]) for x in held) >= self.cut:
-                yield [np.concatenate(x) for x in zip(*held)], False
-                held = []
+                broken = cols[at][0]
+                yield close()
         if held:
-            yield [np.concatenate(x) for x in zip(*held)], True
+            yield close()
 
 
 def _cuts(grp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

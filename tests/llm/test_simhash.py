@@ -56,11 +56,17 @@ def test_streamed_groups(size, small):
     assert small > 30 or (all(all(r.column(2).to_pylist()) for r in dense) and {x for p in pairs(dense) for x in p} == {x for p in cross for x in p})
 
 
-def test_cut_groups_name_all_their_rows():
-    """Portions of an oversized group: every row is named for the second pass."""
-    ids, fp, grp = rows()
-    got = pairs(sh._first_pairs(10, 8)(iter(batches(["rep", "fp", "grp", "capped"], [ids, fp, np.zeros(90, np.int64), np.zeros(90, bool)], 5))))
+@pytest.mark.parametrize("size", [1, 5, 7, 40, 100])
+@pytest.mark.parametrize("cut", [8, 13, 50])
+def test_cut_groups_name_all_their_rows(size, cut):
+    """Portions of an oversized group between two small ones: every row of it is named for the second pass, the last portion's too; the small groups stay whole."""
+    ids, fp, _ = rows()
+    grp = np.repeat([1, 5, 9], [3, 84, 3])
+    got = pairs(sh._first_pairs(10, cut)(iter(batches(["rep", "fp", "grp", "capped"], [ids, fp, grp, np.zeros(90, bool)], size))))
     assert {x for p in got for x in p} == set(range(90))
+    assert not any(a == b for a, b in got if a < 3 or a > 86)
+    portions = [(c[2][0], c[2][-1], len(c[0]), whole) for c, whole in sh._Groups(iter(batches(["rep", "fp", "grp", "capped"], [ids, fp, grp, np.zeros(90, bool)], size)), cut)]
+    assert sum(n for *_, n, _ in portions) == 90 and all(a == b == 5 for a, b, _, whole in portions if not whole)
 
 
 @pytest.mark.parametrize("blocks", [(1, 1), (3, 1), (1, 3), (4, 3)])
