@@ -93,7 +93,7 @@ def span_list(spans: list[tuple[int, int, int]]) -> str:
 
 # ---- the network
 
-WINDOW, OVERLAP, HIDDEN, EMBED, CHARS = 480, 48, 16, 12, 160
+WINDOW, OVERLAP, HIDDEN, EMBED, CHARS = 960, 48, 16, 12, 160
 TAGS = 1 + 2 * len(KINDS)
 CONFIDENCE = 0.8
 #: Windows run at once, characters whose emissions are held at once, and positions decoded at once.
