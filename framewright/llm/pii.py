@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -523,11 +525,9 @@ def find_spans(texts: list[str | None], model: Tagger) -> list[tuple[list, list]
     base = [base_spans(t) for t in texts]
     out = []
     for b, found in zip(base, model.spans(texts)):
-        added, taken = [], sorted((s, e) for s, _, e in b)
-        for s, k, e in found:
-            if not any(s < y and x < e for x, y in taken):
-                added.append((s, k, e))
-        out.append((b, added))
+        starts, reach = [s for s, _, _ in b], list(accumulate((e for _, _, e in b), max))
+        # Of the base spans that begin before the end of this one, the furthest end tells whether any overlaps it.
+        out.append((b, [(s, k, e) for s, k, e in found if not (at := bisect_left(starts, e)) or reach[at - 1] <= s]))
     return out
 
 

@@ -152,3 +152,18 @@ def test_training_finds_spans_that_no_base_pattern_has():
     c, y = pii.labelled_samples(300, seed=99)
     tags = m.decode(m.window_emissions(np.ascontiguousarray(c.T)).transpose(1, 0, 2))
     assert (tags == y).mean() > 0.98 and (tags == y)[y > 0].mean() > 0.95
+
+
+def test_added_spans_overlap_no_base_span():
+    class Found:
+        def __init__(self, spans):
+            self.found = spans
+
+        def spans(self, texts):
+            return [self.found for _ in texts]
+
+    text = "a@b.example.com " + "x" * 20 + " 10.1.2.3 +1 (269) 555-3296"
+    base = pii.base_spans(text)
+    every = [(s, 0, e) for s in range(len(text)) for e in range(s + 1, len(text) + 1)]
+    ((_, added),) = pii.find_spans([text], Found(every))
+    assert added == [(s, k, e) for s, k, e in every if not any(s < y and x < e for x, _, y in base)]
