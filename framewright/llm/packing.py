@@ -16,7 +16,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from .common import WS_CHARS, durable, kept, task
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond that the memory starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 class CachedEncoder:
@@ -59,42 +59,60 @@ class CachedEncoder:
         self.special = re.compile("|".join(map(re.escape, special))).search if special else None
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.bpe = BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"])
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": _MARK}
+        if max(model["vocab"].values()) >= 1 << 16:
+            raise ValueError(f"{path}: identifiers beyond 65535")
         self.cache: dict[str, bytes] = {"": b""}
         self.cache_words = cache_words
 
-    def _part(self, part: str) -> bytes:
-        raw = self.parts.get(part)
-        if raw is None:
-            shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_SHOWN)
-            raw = self.parts[part] = array("I", [t.id for t in self.bpe.tokenize(shown)]).tobytes()
-        return raw
-
-    def _word(self, word: str) -> bytes:
-        if self.special and self.special(word):
-            return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
-        if word.isascii():
-            return b"".join(map(self._part, _ASCII_PARTS(word.lower())))
-        if _SIMPLE(word):
-            return b"".join(map(self._part, _LATIN_PARTS("".join(c.lower() for c in word))))
-        return array("I", self.tok.encode(word, add_special_tokens=False).ids).tobytes()
+    def _ids(self, part: str) -> bytes:
+        shown = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_SHOWN)
+        return array("I", [t.id for t in self.bpe.tokenize(shown)]).tobytes()
+
+    def _cut(self, words: list[str], find: Callable) -> Iterable[bytes]:
+        """The ids of words that ``find`` cuts into parts: all words as one text, in which a line end stands between two words and a mark between their ids."""
+        cut, parts = find("\n".join(words).lower()), self.parts
+        for p in set(cut).difference(parts):
+            parts[p] = self._ids(p)
+        return b"".join(map(parts.__getitem__, cut)).split(_MARK)
+
+    def _new(self, words: list[str]) -> None:
+        """Look up words that aren't known yet."""
+        ascii_, latin, rest = [], [], []
+        special = self.special if self.special and self.special("\n".join(words)) else None
+        for w in words:
+            (rest if special and special(w) else ascii_ if w.isascii() else latin if _SIMPLE(w) else rest).append(w)
+        if ascii_:
+            self.cache.update(zip(ascii_, self._cut(ascii_, _ASCII_PARTS)))
+        if latin:
+            self.cache.update(zip(latin, self._cut(latin, _LATIN_PARTS)))
+        for w in rest:
+            self.cache[w] = array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, in order."""
         split = [t.translate(_TO_SPACE).split(" ") if t and any(c in t for c in "\t\x0b\x0c\r") else t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.cache) > self.cache_words:
-            self.cache, self.parts = {"": b""}, {}
-        known, word = self.cache, self._word
+            self.cache, self.parts = {"": b""}, {"\n": _MARK}
+        get, held, new = self.cache.get, [], set()
         for words in split:
-            for w in set(words).difference(known):
-                known[w] = word(w)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
+            ids = list(map(get, words))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
+            new.update([words[i] for i in gaps])
+            held.append((words, ids, gaps))
+        if new:
+            self._new(list(new))
+        for words, ids, gaps in held:
+            for i in gaps:
+                ids[i] = get(words[i])
+        return [b"".join(ids) for _, ids, _ in held]
+
+
+#: Between the ids of two words; no id has such bytes, as all are below 2**16.
+_MARK = b"\xff\xff\xff\xff"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
-_LATIN_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+_ASCII_PARTS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+").findall
+_LATIN_PARTS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
 #: Latin characters up to U+024F, each of which is its own NFC form and lowers to one character.
 _SIMPLE = re.compile("[!-~\u00a1-\u012f\u0131-\u024f]+").fullmatch
 #: The byte-level alphabet: printable Latin-1 characters show themselves, the others characters from U+0100 on.
@@ -161,6 +179,7 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _fill_worker(path: str, capacity: int, slack: float, with_ids: bool, end_id: int, special_as_text: bool) -> Callable:
+    """Leftovers keep their ids, which the last level may have to cut; full bins keep them on request."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +195,20 @@ def _fill_worker(path: str, capacity: int, slack: float, with_ids: bool, end_id:
                     total, start = len(raw) // 4, 0
                     for length in cut_points(total, capacity, slack):
                         part = raw[4 * start : 4 * (start + length)]
-                        full = filler.add(length, [doc, start, length, zlib.crc32(part), total, part if with_ids else None, None, None, worker, item])
+                        full = filler.add(length, [doc, start, length, zlib.crc32(part), total, part, None, None, worker, item])
                         item, start = item + 1, start + length
                         if full:
                             at = 0
                             for row in full:
                                 row[6:8] = worker * _ROOM + number, at
                                 at += row[2]
+                                if not with_ids:
+                                    row[5] = None  # only leftovers, which may have to be cut, need their ids
                             number += 1
                             out += full
-                if len(out) >= 4096:
-                    yield _emit(out)
-                    out = []
+                    if len(out) >= 1024:
+                        yield _emit(out)
+                        out = []
         yield _emit(out + filler.rest())
 
     return run
@@ -255,7 +276,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     if fan_in != 64:
         raise ValueError("groups are of 64 workers at each level")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.spark_partition_id().cast("long").alias("worker"))
-    first = durable(rows.mapInArrow(task(_keep_rest_ids(tokenizer_path, capacity, slack, with_ids, end_id, special_as_text)), PIECE_SCHEMA))
+    first = durable(rows.mapInArrow(task(_fill_worker(tokenizer_path, capacity, slack, with_ids, end_id, special_as_text)), PIECE_SCHEMA))
     done = [first.filter("sequence_id is not null")]
     rest = first.filter("sequence_id is null")
     workers, level = (first.agg(F.max("worker")).first()[0] or 0) + 1, 1
@@ -274,22 +295,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     return out.drop("worker", "item")
 
 
-def _keep_rest_ids(path: str, capacity: int, slack: float, with_ids: bool, end_id: int, special_as_text: bool) -> Callable:
-    """Leftovers keep their ids, which the last level may have to cut; full bins keep them on request."""
-    fill = _fill_worker(path, capacity, slack, True, end_id, special_as_text)
-    if with_ids:
-        return fill
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
-        for b in fill(batches):
-            ids = pc.if_else(pc.is_valid(b.column(6)), pa.scalar(None, pa.binary()), b.column(5))
-            yield pa.RecordBatch.from_arrays([ids if n == "ids" else b.column(i) for i, n in enumerate(_KEYS)], schema=_ARROW)
-
-    return run
-
-
 def _dropping_key(fill: Callable) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         return fill(table.select(_KEYS))
