@@ -53,21 +53,22 @@ def per_row(kernel: Callable, schema: str, permissive: bool = False) -> Callable
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for values in batches:
-            columns = {n: [] for n in names}
-            errors = []
-            for v in _records(values):
-                missing, error = v is None or (isinstance(v, dict) and v.get("data", 0) is None), None
-                out = None
-                try:
-                    out = None if missing else kernel(v)
-                except MediaError as e:
-                    if not permissive:
-                        raise
-                    error = str(e)
-                for n in names:
-                    columns[n].append(None if out is None else out[n])
-                errors.append(error)
-            yield pd.DataFrame(columns | ({"_error": errors} if permissive else {}))
+            for some in _slices(_records(values)):
+                columns = {n: [] for n in names}
+                errors = []
+                for v in some:
+                    missing, error = v is None or (isinstance(v, dict) and v.get("data", 0) is None), None
+                    out = None
+                    try:
+                        out = None if missing else kernel(v)
+                    except MediaError as e:
+                        if not permissive:
+                            raise
+                        error = str(e)
+                    for n in names:
+                        columns[n].append(None if out is None else out[n])
+                    errors.append(error)
+                yield pd.DataFrame(columns | ({"_error": errors} if permissive else {}))
 
     return run
 
@@ -80,6 +81,20 @@ def _records(values) -> Iterator:
     return iter(values)
 
 
+def _slices(records: Iterator, rows: int = 256, most: int = 32 << 20) -> Iterator[list]:
+    """The rows of a batch a few at a time, by number and bytes: results leave before the next are made, so a batch's results never lie in memory together."""
+    some, size = [], 0
+    for r in records:
+        some.append(r)
+        data = r.get("data") if isinstance(r, dict) else r
+        size += len(data) if isinstance(data, (bytes, bytearray)) else 0
+        if len(some) == rows or size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def stacked(kernel: Callable[[np.ndarray], np.ndarray], image: Column, schema: str, wrap: Callable, permissive: bool = False) -> Column:
     """``kernel`` over stacks of equally large images (n x H x W x C): one call for each shape of a batch, not for each row. Without ``permissive`` only: an error
     must name its own row, so a permissive call goes row by row."""

@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str, each: int = 2000) -> DataFrame:
+    """``rows`` by ``key`` in one partition for about every ``each`` of them, however few files or row groups they come from.
+
+    For tables of short rows that become large media: their bytes say nothing of the work. What is grouped by the key later needs no further shuffle.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 def query_vector(spark: SparkSession, sf: str) -> DataFrame:
     """One row: the vector of vec_id 0 (the smallest identifier)."""
     return table(spark, sf, "embeddings").filter("vec_id = 0").select(F.col("embedding").alias("qv")).limit(1)
