@@ -311,10 +311,11 @@ def mono_rows(samples: DataFrame, key: str, frame: str, value: str) -> DataFrame
 
 
 def chunk_rows(samples: DataFrame, key: str, index: str, size: int, least: int) -> DataFrame:
-    """Chunk number of each sample; a last chunk of fewer than ``least`` samples goes."""
-    c = samples.withColumn("chunk", F.floor(F.col(index) / size))
-    full = c.groupBy(key, "chunk").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return c.join(full, [key, "chunk"])
+    """Chunk number of each sample; a last chunk of fewer than ``least`` samples goes. Chunks are counted where their samples are, so no side of a join can be broadcast."""
+    from pyspark.sql import Window
+
+    c = samples.withColumn("chunk", F.floor(F.col(index) / size)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key, "chunk")))
+    return c.filter(F.col("n") >= least).select(key, "chunk", *[x for x in samples.columns if x != key], "n")
 
 
 # ---- keyframes

@@ -7,6 +7,7 @@ import pytest
 
 from __spark_entry__ import queries
 from framewright.functions import audio
+from framewright.operators import media
 
 SF = "/root/testdata/sf0.1"
 
@@ -15,12 +16,21 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample"])
+@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample", "a6_chunk_rows"])
 def test_work_is_spread_by_rows(spark, name):
     parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", _plan(queries()[name](spark, SF)))]
     assert parts and min(parts) >= 8  # one file of one row group was one task
 
 
+def test_chunks_are_counted_without_a_join(spark):
+    plan = queries()["a6_chunk_rows"](spark, SF)._jdf.queryExecution()
+    assert "Join" not in plan.optimizedPlan().toString() and plan.sparkPlan().toString().count("Window") == 1
+    rows = spark.createDataFrame([(k, i, 0.5) for k in (1, 2) for i in range(10 + k)], "k long, i long, v double")
+    got = media.chunk_rows(rows, "k", "i", 5, 2)
+    assert got.columns == ["k", "chunk", "i", "v", "n"]
+    assert sorted((r.k, r.chunk, r.i, r.n) for r in got.collect()) == [(k, i // 5, i, 2 if i >= 10 else 5) for k, n in ((1, 10), (2, 12)) for i in range(n)]
+
+
 def test_resampling_in_groups_is_the_plain_sum():
     x = np.random.default_rng(0).uniform(-1, 1, 700).astype(np.float32)
     for rate, target in ((44100, 16000), (8000, 44100), (44101, 16000)):
