@@ -16,7 +16,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample", "a6_chunk_rows"])
+@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample", "a6_chunk_rows", "a3_mono"])
 def test_work_is_spread_by_rows(spark, name):
     parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", _plan(queries()[name](spark, SF)))]
     assert parts and min(parts) >= 8  # one file of one row group was one task
@@ -41,3 +41,8 @@ def test_resampling_in_groups_is_the_plain_sum():
         want = [padded[o * down // up + 1 : o * down // up + 1 + 2 * taps] @ h[o * down % up] for o in range(-(-len(x) * target // rate))]
         got = audio.resample(x, rate, target)
         assert got.shape == (len(want),) and np.abs(got - np.array(want)).max() < 2e-7
+
+
+def test_mono_needs_no_shuffle_of_samples(spark):
+    plan = queries()["a3_mono"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Generate") < plan.index("Exchange")
