@@ -105,18 +105,19 @@ def stacked(kernel: Callable[[np.ndarray], np.ndarray], image: Column, schema: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split(":")[0].strip() for f in _fields(schema)]
         for values in batches:
-            rows, groups = list(_records(values)), {}
-            for k, i in enumerate(rows):
-                if i["data"] is not None:
-                    groups.setdefault((i["height"], i["width"], i["nChannels"]), []).append(k)
-            out: list = [None] * len(rows)
-            for (h, w, c), own in groups.items():
-                many = max(1, min(64, (32 << 20) // max(1, h * w * c)))
-                for at in range(0, len(own), many):
-                    some = own[at : at + many]
-                    for k, x in zip(some, kernel(np.stack([image_array(rows[k]) for k in some]))):
-                        out[k] = wrap(x, rows[k]["origin"], rows[k]["format"])
-            yield pd.DataFrame({n: [None if o is None else o[n] for o in out] for n in names})
+            for rows in _slices(_records(values)):
+                groups: dict = {}
+                for k, i in enumerate(rows):
+                    if i["data"] is not None:
+                        groups.setdefault((i["height"], i["width"], i["nChannels"]), []).append(k)
+                out: list = [None] * len(rows)
+                for (h, w, c), own in groups.items():
+                    many = max(1, min(64, (32 << 20) // max(1, h * w * c)))
+                    for at in range(0, len(own), many):
+                        some = own[at : at + many]
+                        for k, x in zip(some, kernel(np.stack([image_array(rows[k]) for k in some]))):
+                            out[k] = wrap(x, rows[k]["origin"], rows[k]["format"])
+                yield pd.DataFrame({n: [None if o is None else o[n] for o in out] for n in names})
 
     return run(image)
 
@@ -194,17 +195,18 @@ PATCHES = "struct<shape: array<int>, dtype: string, format: string, data: binary
 def image_patches(image: Column, permissive: bool = False, **options) -> Column:
     """Patches and grid of one image for a vision-language model."""
 
-    def run(i) -> dict:
-        p, grid = px.patches_of([image_array(i)], **options)
-        return {**tensor_value(p), "grid": list(grid)}
+    def run(x: np.ndarray) -> list:
+        p, grid = px.patches_stack([x], **options)
+        return [(one, list(grid)) for one in p]
 
-    return per_row(run, PATCHES, permissive)(image)
+    return stacked(run, image, PATCHES, lambda p, *_: {**tensor_value(p[0]), "grid": p[1]}, permissive)
 
 
-def video_patches(frames: DataFrame, video: str, index: str, image: str, **options) -> DataFrame:
+def video_patches(frames: DataFrame, video: str, index: str, image: str, parts: int | None = None, **options) -> DataFrame:
     """Patches of each video by pairs of its frames in order: video, pair, shape, dtype, format, data, grid (of the whole video). Row-wise one after another the pairs' patches are the video's.
 
     A task holds two frames, never a video; an odd last frame is paired with itself. All frames take the size of the video's first.
+    ``parts`` is the number of partitions for the images; without it Spark chooses by compressed bytes, which may be few.
     """
     from pyspark.sql import Window
 
@@ -213,15 +215,44 @@ def video_patches(frames: DataFrame, video: str, index: str, image: str, **optio
     own = Window.partitionBy("video").orderBy("index")
     place = small.withColumn("place", F.row_number().over(own) - 1).withColumn("h0", F.first("h").over(own)).withColumn("w0", F.first("w").over(own))
     place = place.withColumn("frames", F.count(F.lit(1)).over(Window.partitionBy("video"))).select("video", "index", "place", "h0", "w0", "frames")
-    paired = f.join(place, ["video", "index"]).withColumn("pair", F.floor(F.col("place") / 2))
+    # The plan's sizes are those of the table that images are made of: without the hint the images themselves may be broadcast.
+    by = lambda df, *keys: df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    paired = by(f, "video", "index").join(place.hint("merge"), ["video", "index"]).withColumn("pair", F.floor(F.col("place") / 2))
+    paired = paired.select("video", "pair", "place", "h0", "w0", "frames", *[F.col(f"image.{n}").alias(n) for n in ("height", "width", "nChannels", "format", "data")])
+    paired = by(paired, "video", "pair").sortWithinPartitions("video", "pair", "place")
+
+    def patches(pairs: list[list[dict]]) -> pd.DataFrame:
+        groups: dict = {}
+        for k, p in enumerate(pairs):
+            groups.setdefault((p[0]["h0"], p[0]["w0"], *[(r["height"], r["width"], r["nChannels"]) for r in p]), []).append(k)
+        rows: list = [None] * len(pairs)
+        for key, own in groups.items():
+            many = max(1, min(32, (16 << 20) // max(1, key[2][0] * key[2][1] * key[2][2])))
+            for at in range(0, len(own), many):
+                some = own[at : at + many]
+                frames = [np.stack([image_array(pairs[k][t]) for k in some]) for t in range(len(pairs[some[0]]))]
+                out, (_, gh, gw) = px.patches_stack(frames, like=key[:2], **options)
+                for k, p in zip(some, out):
+                    r = pairs[k][0]
+                    rows[k] = (r["video"], r["pair"], *tensor_value(p).values(), [-(-r["frames"] // 2), gh, gw])
+        return pd.DataFrame(rows, columns=["video", "pair", "shape", "dtype", "format", "data", "grid"])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        first = pdf.iloc[0]
-        p, (_, gh, gw) = px.patches_of([image_array(r) for r in pdf["image"]], like=(int(first["h0"]), int(first["w0"])), **options)
-        return pd.DataFrame([[*key, *tensor_value(p).values(), [-(-int(first["frames"]) // 2), gh, gw]]], columns=["video", "pair", "shape", "dtype", "format", "data", "grid"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted, the frames of a pair together; the last pair of a batch waits for the next batch."""
+        pairs: list[list[dict]] = []
+        for b in batches:
+            for r in _records(b):
+                if pairs and (pairs[-1][0]["video"], pairs[-1][0]["pair"]) == (r["video"], r["pair"]):
+                    pairs[-1].append(r)
+                    continue
+                if len(pairs) >= 128 or sum(len(x["data"]) for p in pairs[-1:] for x in p) * len(pairs) >= 32 << 20:
+                    yield patches(pairs)
+                    pairs = []
+                pairs.append([r])
+        if pairs:
+            yield patches(pairs)
 
-    return paired.groupBy("video", "pair").applyInPandas(run, f"video {frames.schema[video].dataType.simpleString()}, pair long, shape array<int>, dtype string, format string, data binary, grid array<int>")
+    return paired.mapInPandas(run, f"video {frames.schema[video].dataType.simpleString()}, pair long, shape array<int>, dtype string, format string, data binary, grid array<int>")
 
 
 def model_inputs(images: DataFrame | None, videos: DataFrame | None) -> DataFrame | None:
@@ -380,8 +411,9 @@ def prefix_budget(parts: DataFrame, key: str, order: str, count: str, budget: in
 # ---- token compression
 
 
-def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 8192, eps: float | None = None, per_frame: int | None = None) -> DataFrame:
-    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of more than ``limit`` tokens are left as they are.
+def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 0, eps: float | None = None, per_frame: int | None = None) -> DataFrame:
+    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of any size are compressed, their similarities in blocks of rows;
+    a positive ``limit`` leaves items of more tokens as they are (8192 in the behaviour that is reproduced).
 
     Videos are compressed frame by frame first: ``frames`` is the number of frames of each, or ``per_frame`` that of a frame's tokens.
     With ``eps`` the components are found from sampled anchors, as in ``token_components``.
@@ -423,7 +455,7 @@ def token_edges(tokens: DataFrame, key: str = "item", index: str = "token_idx",
     return sent.groupBy("key", "i", "j").applyInPandas(run, f"key {kind}, x {place}, y {place}").withColumnRenamed("key", key)
 
 
-def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 8192, eps: float | None = None) -> DataFrame:
+def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 0, eps: float | None = None) -> DataFrame:
     """(key, token, component): components of cosine above tau within an item, numbered by their smallest tokens.
 
     With ``eps`` they are found from sampled anchors (exact where all tokens are anchors) and numbered by their token of greatest degree.
@@ -432,9 +464,6 @@ def token_components(tokens: DataFrame, key: str = "item", index: str = "token_i
     def run(x, _):
         if cp.gated(len(x), limit):
             return [(i, i) for i in range(len(x))]
-        adj = cp.adjacency(x.astype(np.float64), tau)
-        if eps is None:
-            return list(enumerate(map(int, cp.components(adj))))
-        return [(int(i), c) for c, group in enumerate(cp.sampled_components(adj, eps)) for i in group]
+        return list(enumerate(map(int, cp.token_labels(x, tau, eps))))
 
     return _by_item(tokens.select(key, index, vec), key, index, vec, run, "token int, component int")
