@@ -186,7 +186,7 @@ def num_bytes(value: Column) -> Column:
 
 
 def tiles(image: Column, size: int = 448, min_num: int = 1, max_num: int = 12, thumbnail: bool = True, permissive: bool = False) -> Column:
-    return per_row(lambda i: tensor_value(px.tiles_of(image_array(i), size, min_num, max_num, thumbnail), "NCHW"), TENSOR, permissive)(image)
+    return stacked(lambda x: px.tiles_stack(x, size, min_num, max_num, thumbnail), image, TENSOR, lambda t, *_: tensor_value(t, "NCHW"), permissive)
 
 
 PATCHES = "struct<shape: array<int>, dtype: string, format: string, data: binary, grid: array<int>>"
@@ -266,12 +266,17 @@ def perceptual_hash(image: Column, block: int = 16) -> Column:
     @F.pandas_udf("array<bigint>")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                bits = px.perceptual_hash(image_array(r), block)
-                bits = np.pad(bits, (0, -len(bits) % 64))
-                out.append(np.packbits(bits, bitorder="little").view("<i8").tolist())
-            yield pd.Series(out)
+            for rows in _slices(_records(b), 64):
+                groups: dict = {}
+                for k, r in enumerate(rows):
+                    groups.setdefault((r["height"], r["width"], r["nChannels"]), []).append(k)
+                out: list = [None] * len(rows)
+                for own in groups.values():
+                    bits = px.hash_stack(np.stack([image_array(rows[k]) for k in own]), block)
+                    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
+                    for k, words in zip(own, np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist()):
+                        out[k] = words
+                yield pd.Series(out)
 
     return run(image)
 

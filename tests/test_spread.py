@@ -4,11 +4,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from framewright.functions import audio
 from framewright.functions import pixels as px
 from framewright.operators import media
+from framewright.plans.queries_media import _rounded
 from framewright.types import IMAGE
 
 SF = "/root/testdata/sf0.1"
@@ -18,7 +20,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample", "a6_chunk_rows", "a3_mono", "a1_pcm24_pcm32", "t13_video_patches"])
+@pytest.mark.parametrize("name", ["s3_s4_a4_load_and_resample", "a6_chunk_rows", "a3_mono", "a1_pcm24_pcm32", "t13_video_patches", "t4_t5_normalize", "t3_t8_to_tensor", "w2_perceptual_hash", "t10_t13_t14_patches", "t2_resize", "t18_tiles", "t6_resize_crop_bicubic", "t12_patch_positions", "t9_fused_pipeline", "t22_tensor_into_bytes"])
 def test_work_is_spread_by_rows(spark, name):
     parts = [int(n) for n in re.findall(r"RepartitionByExpression \[.*?\], (\d+)", _plan(queries()[name](spark, SF)))]
     assert parts and min(parts) >= 8  # one file of one row group was one task
@@ -72,3 +74,21 @@ def test_video_patches_of_pairs_that_differ_in_size(spark):
 def test_mono_needs_no_shuffle_of_samples(spark):
     plan = queries()["a3_mono"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("HashAggregate") < plan.index("Generate") < plan.index("Exchange")
+
+
+def test_rounding_of_every_byte_is_that_of_decimals(spark):
+    p = spark.range(256).selectExpr("id AS value", "explode(array(0, 1, 2)) AS c")
+    n = media.normalize_rows(p, px.IMAGENET_MEAN, px.IMAGENET_STD).union(p.selectExpr("value / 255D", "c"))
+    for d in (5, 6):
+        assert n.filter(_rounded(F.col("value"), d) != F.round("value", d)).count() == 0
+
+
+def test_stacks_give_what_single_images_give():
+    x = np.random.default_rng(3).integers(0, 256, (5, 40, 80, 3)).astype(np.uint8)
+    t, b = px.tiles_stack(x, 32), px.hash_stack(x)
+    assert all((px.tiles_of(i, 32) == k).all() for i, k in zip(x, t)) and all((px.perceptual_hash(i) == k).all() for i, k in zip(x, b))
+
+
+def test_results_of_a_batch_leave_in_slices():
+    assert [len(s) for s in media._slices(iter([{"data": b"x"}] * 600))] == [256, 256, 88]
+    assert [len(s) for s in media._slices(iter([{"data": b"x" * 10}] * 5), most=20)] == [2, 2, 1]
