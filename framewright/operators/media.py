@@ -357,13 +357,19 @@ def chunk_rows(samples: DataFrame, key: str, index: str, size: int, least: int)
 # ---- keyframes
 
 
+def vectors(values: list) -> np.ndarray:
+    """Rows of an item's vectors; a missing one is a zero vector."""
+    size = next((len(v) for v in values if v is not None), 1)
+    return np.stack([np.zeros(size, np.float32) if v is None else np.asarray(v, np.float32) for v in values])
+
+
 def _by_item(frames: DataFrame, key: str, index: str, vec: str, kernel: Callable, columns: str) -> DataFrame:
     """Order-dependent loops over one item's frames; items run in parallel, and one must fit into a worker."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index)
-        x = np.stack(pdf[vec].to_numpy()).astype(np.float32)
+        x = vectors(pdf[vec].tolist())
         rows = kernel(x, pdf)
         return pd.DataFrame([(k[0], *r) for r in rows], columns=[key, *names])
 
@@ -416,17 +422,15 @@ def prefix_budget(parts: DataFrame, key: str, order: str, count: str, budget: in
 # ---- token compression
 
 
-def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, limit: int = 0, eps: float | None = None, per_frame: int | None = None) -> DataFrame:
-    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of any size are compressed, their similarities in blocks of rows;
-    a positive ``limit`` leaves items of more tokens as they are (8192 in the behaviour that is reproduced).
+def compress_tokens(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, frames: int | None = None, ratio: float | None = None, eps: float | None = None, per_frame: int | None = None) -> DataFrame:
+    """(key, center, vec): the centers of each item's tokens, to exactly ceil(n * ratio) ones if asked for. Items of any size are compressed, their similarities in blocks of rows
+    (the behaviour that is reproduced leaves items of more than 8192 tokens as they are). A token without a vector counts as a zero vector, which no other resembles.
 
     Videos are compressed frame by frame first: ``frames`` is the number of frames of each, or ``per_frame`` that of a frame's tokens.
     With ``eps`` the components are found from sampled anchors, as in ``token_components``.
     """
 
     def kernel(x: np.ndarray, _) -> list:
-        if cp.gated(len(x), limit):
-            return [(i, v.tolist()) for i, v in enumerate(x)]
         c = cp.compress_image(x, tau, eps) if not (frames or per_frame) else cp.compress_video(x, frames or -(-len(x) // per_frame), tau, eps)
         c = c if ratio is None else cp.to_exact(c, cp.target_size(len(x), ratio), tau)
         return [(i, v.tolist()) for i, v in enumerate(c)]
@@ -460,15 +464,10 @@ def token_edges(tokens: DataFrame, key: str = "item", index: str = "token_idx",
     return sent.groupBy("key", "i", "j").applyInPandas(run, f"key {kind}, x {place}, y {place}").withColumnRenamed("key", key)
 
 
-def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, limit: int = 0, eps: float | None = None) -> DataFrame:
+def token_components(tokens: DataFrame, key: str = "item", index: str = "token_idx", vec: str = "embedding", tau: float = 0.95, eps: float | None = None) -> DataFrame:
     """(key, token, component): components of cosine above tau within an item, numbered by their smallest tokens.
 
     With ``eps`` they are found from sampled anchors (exact where all tokens are anchors) and numbered by their token of greatest degree.
     """
 
-    def run(x, _):
-        if cp.gated(len(x), limit):
-            return [(i, i) for i in range(len(x))]
-        return list(enumerate(map(int, cp.token_labels(x, tau, eps))))
-
-    return _by_item(tokens.select(key, index, vec), key, index, vec, run, "token int, component int")
+    return _by_item(tokens.select(key, index, vec), key, index, vec, lambda x, _: list(enumerate(map(int, cp.token_labels(x, tau, eps)))), "token int, component int")

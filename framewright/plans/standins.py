@@ -27,9 +27,9 @@ def query_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """video, frame_idx, vec_id, embedding, score (similarity with the query vector, 6 decimals)."""
+    """video, frame_idx, vec_id, embedding, score (similarity with the query vector, 6 decimals; null without such a vector)."""
     f = frame_numbers(table(spark, sf, "embeddings").withColumnRenamed("label", "video"), "video", "vec_id")
-    return f.join(F.broadcast(query_vector(spark, sf))).withColumn("score", F.round(dot(F.col("embedding"), F.col("qv")), 6)).drop("qv")
+    return f.join(F.broadcast(query_vector(spark, sf)), F.lit(True), "left").withColumn("score", F.round(dot(F.col("embedding"), F.col("qv")), 6)).drop("qv")
 
 
 FRAMES_SQL = """SELECT vec_id, label AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx, embedding,

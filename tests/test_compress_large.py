@@ -1,10 +1,12 @@
 """Items of more tokens than one similarity matrix may hold."""
 
+import inspect
 import math
 
 import numpy as np
 import pytest
 
+from __spark_entry__ import queries
 from framewright.functions import compress as cp
 from framewright.operators import media
 
@@ -31,3 +33,16 @@ def test_large_items_are_compressed_too(spark, eps):
     d = spark.range(n).selectExpr("1L AS item", "cast(id AS int) AS token_idx", "array(cos(id % 100), sin(id % 100)) AS embedding")
     assert media.compress_tokens(d, tau=0.99999, ratio=0.3, eps=eps).count() == math.ceil(n * 0.3)
     assert media.token_components(d, tau=0.99999, eps=eps).select("component").distinct().count() < 101
+
+
+def test_exact_sizes_need_no_query_vector_and_count_missing_vectors(spark, tmp_path):
+    """SQL counts every row of ``embeddings``: without a vec_id 0 nothing was returned, and a null vector stopped the job."""
+    rows = [(5 + k, None if k % 11 == 3 else [float(k % 7), 1.0, float(k % 5)], None if k % 4 == 3 else k % 4) for k in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("c6_compress_exact", "c3_compress_sampled"):
+        assert sorted((r.video if r.video is not None else -1, r.centers) for r in queries()[name](spark, str(tmp_path)).collect()) == [(k, math.ceil(30 * 0.3)) for k in (-1, 0, 1, 2)]
+
+
+def test_no_size_leaves_an_item_as_it_is():
+    for operator in (media.compress_tokens, media.token_components):
+        assert "limit" not in inspect.signature(operator).parameters
