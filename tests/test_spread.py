@@ -92,3 +92,21 @@ def test_stacks_give_what_single_images_give():
 def test_results_of_a_batch_leave_in_slices():
     assert [len(s) for s in media._slices(iter([{"data": b"x"}] * 600))] == [256, 256, 88]
     assert [len(s) for s in media._slices(iter([{"data": b"x" * 10}] * 5), most=20)] == [2, 2, 1]
+
+
+def test_normal_bytes_are_normalized_bytes():
+    """Looked up by byte, planes and patches are what the plain kernels give, bit by bit."""
+    x = np.random.default_rng(5).integers(0, 256, (9, 60, 90, 3)).astype(np.uint8)
+    assert (px.normal_planes(x, px.IMAGENET_MEAN, px.IMAGENET_STD) == px.normalize(px.to_tensor(x), px.IMAGENET_MEAN, px.IMAGENET_STD)).all()
+    for frames in ([x], [x, x[::-1]]):
+        got, grid = px.patches_stack(frames)
+        for k in range(len(x)):
+            want, own = px.patches_of([f[k] for f in frames])
+            assert own == grid and (got[k] == want).all()
+
+
+def test_a_stack_is_worked_on_in_parts_that_fit_the_cache(monkeypatch):
+    x = np.random.default_rng(6).integers(0, 256, (7, 40, 56, 3)).astype(np.uint8)
+    resized, bits = px.resize_stack(x, 84, 28), px.hash_stack(x)
+    monkeypatch.setattr(px, "_NEAR", 1)  # one image at a time
+    assert (px.resize_stack(x, 84, 28) == resized).all() and (px.hash_stack(x) == bits).all()
