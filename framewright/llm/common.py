@@ -126,6 +126,13 @@ def kept(key: tuple, make: Callable):
     return _KEPT[key]
 
 
+def drop_kept() -> None:
+    """Forget what earlier tasks of other operators left in this worker: one that keeps nothing itself must not hold their caches beside its own work."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def task(run: Callable) -> Callable:
     """``run`` over batches, in one thread, giving freed memory back to the system after each batch and at the end: an executor's processes outlive their tasks
     and share its memory with the JVM."""

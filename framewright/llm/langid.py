@@ -8,7 +8,7 @@ separate the related languages by votes. Both levels are trained in numpy on a b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, durable, fresh, give_back, one_blas_thread, share_below
+from .common import checked_broadcast, drop_kept, durable, fresh, give_back, one_blas_thread, share_below
 
 #: Families of ISO 639-1 codes. Languages that aren't listed form a family of their own.
 FAMILIES = {
@@ -196,12 +196,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return HierarchicalModel(sample["t"].tolist(), sample["l"].tolist())
 
 
-def predict_column(model: HierarchicalModel, text: Column) -> Column:
-    """struct<lang: string, score: double> of each text; ``und`` and 0 where the text is null or has no letter."""
+def predicting(model: HierarchicalModel) -> Callable:
+    """Batches of texts to batches of (lang, score), a few texts at a time."""
 
-    @F.pandas_udf("struct<lang: string, score: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one_blas_thread()
+        drop_kept()
         give_back()
         for texts in batches:
             lang, score = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
@@ -213,7 +213,12 @@ def predict_column(model: HierarchicalModel, text: Column) -> Column:
             del texts
             give_back()
 
-    return run(text.cast("string"))
+    return run
+
+
+def predict_column(model: HierarchicalModel, text: Column) -> Column:
+    """struct<lang: string, score: double> of each text; ``und`` and 0 where the text is null or has no letter."""
+    return F.pandas_udf(predicting(model), "struct<lang: string, score: double>")(text.cast("string"))
 
 
 def identify(docs: DataFrame, model: HierarchicalModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
